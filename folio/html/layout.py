@@ -54,6 +54,7 @@ _IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "caption"}, frozenset({"table"})),
     "option": ({"option"}, frozenset({"select", "body"})),
 }
+_CODE = frozenset("code kbd samp tt var".split())
 _P_SCOPE = frozenset("table td th caption button body html object".split())
 _SCOPE = frozenset("table td th caption html".split())
 _TABLE_PARTS = frozenset("table tbody thead tfoot tr td th caption".split())
@@ -64,7 +65,6 @@ _STYLE = re.compile(r"style\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))", re.I)
 _NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _NAME = re.compile(r"(?:^|[\s\"'])(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPACE = re.compile(r"[\s​﻿]+") if False else re.compile(r"\s+")
 
 
 def _is_hidden(attrs: str) -> bool:
@@ -87,14 +87,16 @@ class Page:
 
     ``lines``: list of ``(text, box, tag, link_chars)``; ``box`` is an index into
     ``boxes``, a list of ``(parent, tag, attrs)`` of the *block* boxes in document
-    order (0 is the root); ``tag`` the nearest block's tag.
+    order (0 is the root); ``tag`` the nearest block's tag. ``codes``: line number ->
+    the pieces of it that stand in inline code.
     """
 
-    __slots__ = ("boxes", "lines")
+    __slots__ = ("boxes", "codes", "lines")
 
     def __init__(self):
         self.boxes = [(-1, "body", "")]
         self.lines = []
+        self.codes = {}
 
     def path(self, box: int):
         """Boxes from ``box`` up to the root."""
@@ -117,23 +119,31 @@ def render(markup: str | None) -> Page:
     hidden_at = -1  # length of the stack below the hidden element
     head = False
     pos = 0
-    pre = 0
+    code_from = -1  # where inline code begins in the buffer
+    codes: list[str] = []
     unescape = _html.unescape
 
     def flush():
-        nonlocal links
+        nonlocal links, code_from
         if buf:
+            if code_from >= 0:
+                codes.append("".join(buf[code_from:]))
+                code_from = 0
             text = "".join(buf)
             buf.clear()
             if "&" in text:
                 text = unescape(text)
             text = " ".join(text.split())
             if text:
+                if codes:
+                    page.codes[len(lines)] = [" ".join(unescape(c).split()) for c in codes if c.strip()]
                 lines.append((text, top, boxes[top][1], links))
+            if codes:
+                codes.clear()
         links = 0
 
     def pop_to(depth: int):
-        nonlocal top, hidden_at, anchors, pre
+        nonlocal top, hidden_at, anchors, code_from
         while len(stack) > depth:
             tag, box, _ = stack.pop()
             if tag in BLOCKS:
@@ -142,6 +152,9 @@ def render(markup: str | None) -> Page:
                     top = boxes[box][0]
             elif tag == "a":
                 anchors = max(0, anchors - 1)
+            elif tag in _CODE and code_from >= 0:
+                codes.append("".join(buf[code_from:]))
+                code_from = -1
             if len(stack) == hidden_at:
                 hidden_at = -1
                 buf.clear()
@@ -221,6 +234,8 @@ def render(markup: str | None) -> Page:
             else:
                 if tag == "a":
                     anchors += 1
+                elif tag in _CODE and code_from < 0:
+                    code_from = len(buf)
                 stack.append((tag, -1, 0))
             continue
         tag = m[4]
@@ -252,6 +267,9 @@ def render(markup: str | None) -> Page:
                                     hidden_at -= 1
                                 if tag == "a":
                                     anchors = max(0, anchors - 1)
+                                elif tag in _CODE and code_from >= 0:
+                                    codes.append("".join(buf[code_from:]))
+                                    code_from = -1
                         break
                     if t in BLOCKS:
                         break
