@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import mainbody, near_duplicates, repeated_lines, residue
+from folio.llm import garbled, mainbody, near_duplicates, repeated_lines, residue
 from folio.operators.sites import page_sites
 from folio.session import prepare, stage, table
 
@@ -47,6 +47,18 @@ def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
     return mainbody.main_bodies(table(spark, d, "pages"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Responses with a passage that was decoded with a wrong charset."""
+    prepare(spark)
+    return garbled.find_garbled(table(spark, d, "responses"))
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Those responses with their text as far as it can be restored."""
+    prepare(spark)
+    return garbled.restore_text(table(spark, d, "responses")).distinct()
+
+
 def _p5(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     prepare(spark)
     pages = table(spark, d, "pages")
@@ -75,7 +87,7 @@ def p6_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_bodies, p5_found, p6_found, p6_messages)}
+    return {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_bodies, p4_found, p4_restored, p5_found, p6_found, p6_messages)}
 
 
 def oracle_sql() -> dict[str, str]:
