@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from folio.html.layout import Page, render
 from folio.llm.mainbody import article_lines
 from folio.operators.sites import host_of
-from folio.session import broadcast_if_small
+from folio.session import stage
 
 __all__ = ["classify_message", "find_residue", "mask_message", "page_evidence", "residue_messages"]
 
@@ -220,7 +220,7 @@ def find_residue(pages: DataFrame, min_sources: int = 5, salts: int = 16) -> Dat
 
     Pages without html or without a visible line are never cases. Rows that share a page_id count once.
     """
-    evidence = evidence_table(pages)
+    evidence = stage(evidence_table(pages), "evidence")
     messages = residue_messages(evidence, min_sources).where("kind is not null or recurring").select("hash", "kind", "recurring")
     lines = evidence.where("not direct").select("page_id", F.explode("messages").alias("m"), F.size("messages").alias("n_lines")).select("page_id", "n_lines", "m.hash", F.length("m.text").alias("n"))
     lines = lines.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
