@@ -5,12 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.operators.sites import page_sites
+from folio.operators.timestamps import normalise_timestamps
+from folio.session import prepare, table
 
 __all__ = ["oracle_sql", "queries"]
 
 
+def _timestamps(spark: SparkSession, d: str) -> DataFrame:
+    prepare(spark)
+    meta, sites = table(spark, d, "page_meta"), table(spark, d, "sites")
+    values = meta.where("page_id is not null").select("page_id", F.explode(F.create_map(F.lit("published"), F.col("published"), F.lit("modified"), F.col("modified"))).alias("field", "value"))
+    values = values.where("value is not null")
+    site = page_sites(table(spark, d, "pages"), table(spark, d, "render_report"), sites)
+    return normalise_timestamps(values.join(site, "page_id", "left"), sites)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Dates of publication and change that name one instant, in seconds since 1970 UTC."""
+    return _timestamps(spark, d).where("utc_s is not null").select("page_id", "field", "utc_s").distinct()
+
+
+def p3_states(spark: SparkSession, d: str) -> DataFrame:
+    """Every given date with the format it was read in and what became of it."""
+    return _timestamps(spark, d).select("page_id", "field", "value", "format", "utc_s", "state")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p3_found, p3_states)}
 
 
 def oracle_sql() -> dict[str, str]:
