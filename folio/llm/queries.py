@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import garbled, mainbody, near_duplicates, repeated_lines, residue
+from folio.llm import contamination, garbled, mainbody, near_duplicates, repeated_lines, residue
 from folio.operators.sites import page_sites
 from folio.session import prepare, stage, table
 
@@ -86,8 +86,23 @@ def p6_messages(spark: SparkSession, d: str) -> DataFrame:
     return found.where("kind is not null or recurring").select(F.col("text").alias("message"), "kind", "pages", "sources", "recurring")
 
 
+def _p8(spark: SparkSession, d: str) -> DataFrame:
+    prepare(spark)
+    return contamination.leaks(contamination.leak_windows(table(spark, d, "documents"), table(spark, d, "benchmark")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that share 13 successive words with a test item."""
+    return _p8(spark, d).where("literal > 0").select("doc_id", "item_id")
+
+
+def p8_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with literal or re-parameterised windows of a test item."""
+    return _p8(spark, d).where("literal > 0 or changed > 0").select("doc_id", "item_id", "literal", "changed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_bodies, p4_found, p4_restored, p5_found, p6_found, p6_messages)}
+    return {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_bodies, p4_found, p4_restored, p5_found, p6_found, p6_messages, p8_found, p8_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
