@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import contamination, garbled, mainbody, near_duplicates, repeated_lines, residue
+from folio.llm import contamination, garbled, mainbody, near_duplicates, packing, repeated_lines, residue, subjects
 from folio.operators.sites import page_sites
 from folio.session import prepare, stage, table
 
@@ -86,6 +86,20 @@ def p6_messages(spark: SparkSession, d: str) -> DataFrame:
     return found.where("kind is not null or recurring").select(F.col("text").alias("message"), "kind", "pages", "sources", "recurring")
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every document with its container, for each capacity."""
+    prepare(spark)
+    kinds = [(r.container_kind, r.capacity) for r in table(spark, d, "containers").select("container_kind", "capacity").orderBy("capacity").collect()]  # three rows
+    return packing.pack(packing.count_tokens(table(spark, d, "documents")), kinds)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and share of their room that is used, for each capacity."""
+    packed = p7_packed(spark, d)
+    by = packed.groupBy("container_kind", "capacity", "container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"))
+    return by.groupBy("container_kind", "capacity").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.round(F.sum("used") / (F.count("*") * F.first("capacity")), 6).alias("filled"), F.max("used").alias("most_used"))
+
+
 def _p8(spark: SparkSession, d: str) -> DataFrame:
     prepare(spark)
     return contamination.leaks(contamination.leak_windows(table(spark, d, "documents"), table(spark, d, "benchmark")))
@@ -101,8 +115,28 @@ def p8_templates(spark: SparkSession, d: str) -> DataFrame:
     return _p8(spark, d).where("literal > 0 or changed > 0").select("doc_id", "item_id", "literal", "changed")
 
 
+def _p9(spark: SparkSession, d: str):
+    prepare(spark)
+    documents = table(spark, d, "documents")
+    names = [r.subject for r in table(spark, d, "subjects").select("subject").where("subject is not null").distinct().collect()]  # a fixed list
+    return documents, subjects.fit(subjects.fit_sample(documents, table(spark, d, "labels")), names)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subject areas of each document."""
+    documents, model = _p9(spark, d)
+    return subjects.assign(documents, model).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and share of the corpus by subject."""
+    documents, model = _p9(spark, d)
+    by = subjects.assign(documents, model).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.sum("share"), 2).alias("whole_documents"))
+    return by
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_bodies, p4_found, p4_restored, p5_found, p6_found, p6_messages, p8_found, p8_templates)}
+    return {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_bodies, p4_found, p4_restored, p5_found, p6_found, p6_messages, p7_packed, p7_fill, p8_found, p8_templates, p9_found, p9_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
