@@ -26,6 +26,8 @@ _CODEC = {"macintosh": "mac_roman", "windows-874": "cp874", "koi8-u": "koi8_u",
 def for_label(label: str) -> str | None:
     """Name of a label's encoding in lower case, or None for what nobody knows."""
     s = label.strip(" \t\n\f\r").lower()
+    if not re.fullmatch(r"[a-z0-9:_.+\-]+", s):
+        return None
     name = _WEB.get(s, s)
     try:
         codecs.lookup(_CODEC.get(name, name))

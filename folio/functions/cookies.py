@@ -63,7 +63,7 @@ def describe_cookies(pairs: Column, page_url: Column) -> Column:
 
 def cookie_fingerprint(jar: Column) -> Column:
     """Parts of a jar in sorted order, so that equal jars compare equal."""
-    return F.array_join(F.array_sort(F.transform(F.split(jar, ";"), _trim)), ";")
+    return F.array_join(F.array_sort(F.split(jar, "; ")), "; ")
 
 
 def domain_candidates(host: Column) -> Column:
@@ -80,6 +80,7 @@ def path_candidates(path: Column) -> Column:
     p = F.when(path == "", F.lit("/")).otherwise(path)
     parts = F.split(p, "/")
     n = F.size(parts)
-    ups = F.transform(F.sequence(n, F.lit(2), F.lit(-1)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    out = F.when(n >= 2, F.filter(ups, lambda x: x != "")).otherwise(F.array(p))
+    least = F.when(F.startswith(p, F.lit("/")), 2).otherwise(1)
+    ups = F.transform(F.sequence(n, least, F.lit(-1)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    out = F.filter(ups, lambda x: x != "")
     return F.when(F.array_contains(out, "/"), out).otherwise(F.concat(out, F.array(F.lit("/"))))
