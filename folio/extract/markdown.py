@@ -271,4 +271,5 @@ def _normal(text: str) -> str:
 
 def to_markdown(tree: Tree, nodes: list[int], base_url: str | None = None, images: bool = True, links: bool = True, max_chars: int | None = None, gone: set[int] | None = None) -> str:
     """Markdown of ``nodes`` in order, without the subtrees in ``gone``."""
-    return _Writer(tree, gone or set(), base_url, images, links, max_chars).run(nodes)
+    gone = gone or set()
+    return _Writer(tree, gone, base_url, images, links, max_chars).run([n for n in nodes if n not in gone])

@@ -147,7 +147,8 @@ def render(markup: str | None) -> Page:
         while len(stack) > depth:
             tag, box, _ = stack.pop()
             if tag in BLOCKS:
-                flush()
+                if hidden_at < 0:
+                    flush()
                 if box == top:
                     top = boxes[box][0]
             elif tag == "a":
@@ -157,7 +158,6 @@ def render(markup: str | None) -> Page:
                 code_from = -1
             if len(stack) == hidden_at:
                 hidden_at = -1
-                buf.clear()
 
     for m in _TOKEN.finditer(markup):
         start = m.start()

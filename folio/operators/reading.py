@@ -35,8 +35,8 @@ def read_one(html: str | None, url: str | None, images: bool = True, with_links:
         tree = parse(html)
         out |= metadata(tree, url)
         a = article(tree)
-        nodes = a.roots if a.grown else [k for k in tree.kids[a.roots[0]] if k not in a.gone]
-        out |= {"content": to_markdown(tree, [n for n in nodes if n not in a.gone], url, images, with_links, max_chars, a.gone), "length": a.text_len, "low_confidence": a.fell_back, "score": float(a.score)}
+        nodes = a.roots if a.grown else tree.kids[a.roots[0]]
+        out |= {"content": to_markdown(tree, nodes, url, images, with_links, max_chars, a.gone), "length": a.text_len, "low_confidence": a.fell_back, "score": float(a.score)}
     except Exception as e:  # noqa: BLE001 - a page that fails is a row, not a failed job
         out["error"] = f"{type(e).__name__}: {e}"[:200]
     return out
