@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.html.tree import ELEMENT, Tree, parse
 from folio.schema import NODES, NODES_SQL
+from folio.session import spread
 
 __all__ = ["html_nodes", "node_rows"]
 
@@ -62,7 +63,7 @@ def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
             if rows:
                 yield _batch(rows)
 
-    return pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), html_col).mapInArrow(run, NODES_SQL)
+    return spread(pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), html_col)).mapInArrow(run, NODES_SQL)
 
 
 def _batch(rows: list) -> pa.RecordBatch:

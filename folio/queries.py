@@ -16,7 +16,7 @@ from folio.operators import clock, corpus, navigation, reading
 from folio.operators.sites import host_of, page_sites
 from folio.operators.timestamps import normalise_timestamps
 from folio.oracles import ADDRESSES, COOKIES, EDGES, GLOBS, HOSTS, ROBOTS, SELECTORS, oracle_sql
-from folio.session import prepare, table
+from folio.session import prepare, spread, stage, table
 from folio.sources.pages import page_list, route_responses, scrape_records
 from folio.streaming.reader import tumbling_counts
 
@@ -63,14 +63,14 @@ def p3_states(spark, t):
 def read_pages(spark, t):
     """The reading of every page: metadata, article in Markdown, its length and confidence."""
     r = reading.read_page(F.col("html"), F.col("url"))
-    return t("pages").select("page_id", "url", r.alias("r")).select("page_id", "url", "r.*")
+    return spread(t("pages")).select("page_id", "url", r.alias("r")).select("page_id", "url", "r.*")
 
 
 @query
 def read_json(spark, t):
     """One JSON record per page: its reading, or the error."""
     r = reading.read_page(F.col("html"), F.col("url"), images=False, with_links=False, max_chars=2000)
-    rows = t("pages").select("page_id", "url", r.alias("r"))
+    rows = spread(t("pages")).select("page_id", "url", r.alias("r"))
     return rows.select("page_id", scrape_records(F.col("url"), F.col("r.error"), title=F.col("r.title"), content=F.col("r.content"), length=F.col("r.length"), low_confidence=F.col("r.low_confidence")).alias("record"))
 
 
@@ -78,7 +78,7 @@ def read_json(spark, t):
 def page_metadata(spark, t):
     """Title, dates, canonical address, language and types as the page itself states them."""
     r = reading.read_page(F.col("html"), F.lit(None).cast("string"))
-    out = t("pages").select("page_id", r.alias("r"))
+    out = spread(t("pages")).select("page_id", r.alias("r"))
     return out.select("page_id", "r.title", "r.published", "r.modified", "r.canonical_url", "r.language", F.array_join("r.schema_types", ",").alias("schema_types"))
 
 
@@ -86,7 +86,7 @@ def page_metadata(spark, t):
 def source_or_rendered(spark, t):
     """Which markup is read: that which scripts left, or what the server sent where scripts emptied the page."""
     r = lambda c: reading.read_page(F.col(c), F.col("url"))
-    rows = t("pages").select("page_id", r("html").alias("a"), r("source_html").alias("b"), F.octet_length("html").alias("size"))
+    rows = spread(t("pages")).select("page_id", r("html").alias("a"), r("source_html").alias("b"), F.octet_length("html").alias("size"))
     report = t("render_report").groupBy("page_id").agg(F.max("scripts_run").alias("scripts_run"), F.max("status").alias("status"))
     rows = rows.join(report, "page_id", "left")
     less = (F.col("a.length") < 500) | (2 * F.col("a.length") < F.col("b.length"))
@@ -100,46 +100,46 @@ def source_or_rendered(spark, t):
 @query
 def page_links(spark, t):
     """Absolute links of every page, the first of each address."""
-    rows = t("pages").select("page_id", F.posexplode(reading.links(F.col("html"), F.col("url"))).alias("n", "link"))
+    rows = spread(t("pages")).select("page_id", F.posexplode(reading.links(F.col("html"), F.col("url"))).alias("n", "link"))
     return rows.select("page_id", F.col("n").cast("bigint").alias("n"), "link.href")
 
 
 @query
 def links_capped(spark, t):
     """The first 200 links of each page that lead somewhere: no fragments, no scripts."""
-    rows = t("pages").select("page_id", F.explode(reading.links(F.col("html"), F.col("url"), limit=200, strict=True)).alias("link"))
+    rows = spread(t("pages")).select("page_id", F.explode(reading.links(F.col("html"), F.col("url"), limit=200, strict=True)).alias("link"))
     return rows.select("page_id", "link.text", "link.href")
 
 
 @query
 def page_assets(spark, t):
     """What every page pulls in, each address once."""
-    return t("pages").select("page_id", F.explode(reading.assets(F.col("source_html"), F.col("url"))).alias("a")).select("page_id", "a.url", "a.kind", "a.rel")
+    return spread(t("pages")).select("page_id", F.explode(reading.assets(F.col("source_html"), F.col("url"))).alias("a")).select("page_id", "a.url", "a.kind", "a.rel")
 
 
 @query
 def page_prefetch(spark, t):
     """Scripts worth fetching early."""
-    return t("pages").select("page_id", F.explode(reading.prefetch(F.col("source_html"), F.col("url"))).alias("url"))
+    return spread(t("pages")).select("page_id", F.explode(reading.prefetch(F.col("source_html"), F.col("url"))).alias("url"))
 
 
 @query
 def serialized(spark, t):
     """Every page as its tree writes it."""
-    return t("pages").select("page_id", reading.serialize(F.col("html")).alias("html"))
+    return spread(t("pages")).select("page_id", reading.serialize(F.col("html")).alias("html"))
 
 
 @query
 def visible_text(spark, t):
     """Text of each page's body without scripts, and the same collapsed."""
-    rows = t("pages").select("page_id", reading.visible_text(F.col("html")).alias("text"))
+    rows = spread(t("pages")).select("page_id", reading.visible_text(F.col("html")).alias("text"))
     return rows.select("page_id", "text", text.clean(F.col("text")).alias("collapsed"))
 
 
 @query
 def consent_free_text(spark, t):
     """Visible characters of each page without consent dialogs, by the ids and classes their vendors use."""
-    nodes = html_nodes(t("pages"))
+    nodes = stage(html_nodes(t("pages")).select("page_id", "node_id", "node_type", "tag", "attr", "path", "path_tags", "pre", "text"), "nodes")
     pattern = r"(?i)onetrust|optanon|ot-sdk|cookielaw|didomi|usercentrics|osano|trustarc|iubenda|cookie-?(banner|consent|notice|bar|law|policy|modal|popup|dialog|wall)|consent-?(banner|modal|manager|dialog|wall|popup|overlay)|gdpr|privacy-?(banner|modal|wall)"
     marked = nodes.where((F.col("node_type") == 1) & (F.try_element_at("attr", F.lit("class")).rlike(pattern) | F.try_element_at("attr", F.lit("id")).rlike(pattern)) & ~F.col("tag").isin("html", "body", "head", "link", "meta", "script", "style", "img", "input"))
     skip = ["script", "style", "noscript", "template", "svg", "head"]
@@ -169,7 +169,7 @@ def element_counts(spark, t):
 @query
 def head_titles(spark, t):
     """Title of each page from the node table: the first title in the head."""
-    n = html_nodes(t("pages"))
+    n = stage(html_nodes(t("pages")).where("path_tags[0] = 'head' or path_tags[0] = 'title'"), "nodes")
     titles = n.where("node_type = 1 and tag = 'title' and path_tags[0] = 'head'").groupBy("page_id").agg(F.min_by("node_id", "pre").alias("parent_id"))
     words = n.where("node_type = 3").join(titles, ["page_id", "parent_id"]).select("page_id", F.trim("text").alias("title"))
     return words
@@ -178,7 +178,7 @@ def head_titles(spark, t):
 @query
 def subtree_text(spark, t):
     """Characters of text below each article, main and section, from intervals."""
-    n = html_nodes(t("pages"))
+    n = stage(html_nodes(t("pages")).select("page_id", "node_id", "node_type", "tag", "path", "text"), "nodes")
     roots = n.where("node_type = 1 and tag in ('article', 'main', 'section')").select("page_id", "node_id", "tag")
     texts = n.where("node_type = 3").select("page_id", F.explode("path").alias("node_id"), F.char_length("text").alias("n"))
     return roots.join(texts, ["page_id", "node_id"], "left").groupBy("page_id", "node_id", "tag").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("characters"))
@@ -186,7 +186,7 @@ def subtree_text(spark, t):
 
 def _selection(name: str, selector: str):
     def run(spark, t):
-        return t("pages").select("page_id", css_count(F.col("html"), selector).cast("bigint").alias("elements"))
+        return spread(t("pages")).select("page_id", css_count(F.col("html"), selector).cast("bigint").alias("elements"))
 
     run.__name__, run.__doc__ = f"select_{name}", f"Elements of each page that match ``{selector}``."
     return query(run)
@@ -198,7 +198,7 @@ for _name, (_selector, _) in SELECTORS.items():
 
 def _plan(name: str, selector: str):
     def run(spark, t):
-        return select_nodes(html_nodes(t("pages")), selector).select("page_id", "node_id", "tag", "pre")
+        return select_nodes(stage(html_nodes(t("pages")), "nodes"), selector).select("page_id", "node_id", "tag", "pre")
 
     run.__name__, run.__doc__ = f"nodes_{name}", f"Rows of the node table that match ``{selector}``, as joins."
     return query(run)
@@ -214,7 +214,7 @@ for _name, _selector in {
 @query
 def selected_text(spark, t):
     """Texts of sub-headings, in order."""
-    return t("pages").select("page_id", F.posexplode(css_select(F.col("html"), "h2, h3")).alias("n", "text")).select("page_id", "n", text.clean(F.col("text")).alias("text"))
+    return spread(t("pages")).select("page_id", F.posexplode(css_select(F.col("html"), "h2, h3")).alias("n", "text")).select("page_id", "n", text.clean(F.col("text")).alias("text"))
 
 
 @query
@@ -599,7 +599,7 @@ def import_targets(spark, t):
 @query
 def script_imports(spark, t):
     """Addresses that module sources name."""
-    return t("pages").select("page_id", F.explode(reading.imports(F.col("source_html"))).alias("specifier"))
+    return spread(t("pages")).select("page_id", F.explode(reading.imports(F.col("source_html"))).alias("specifier"))
 
 
 @query

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["broadcast_if_small", "prepare", "ship", "stage", "stage_dir", "table"]
+__all__ = ["broadcast_if_small", "prepare", "ship", "spread", "stage", "stage_dir", "table"]
 
 _SHIPPED: set[str] = set()
 #: Rows per Arrow batch where the session still has Spark's default of 10,000: pages are long.
@@ -78,6 +78,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame, below: int = 64 << 20) -> DataFrame:
+    """A small input (by its size in files) dealt out to all cores before work in Python; a large one is left as its files split it.
+
+    One small file is one task, however many cores wait; at any size worth the name the scan's own splits are more than the cores.
+    """
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < below:
+        return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism))
+    return df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
