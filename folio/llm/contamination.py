@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.session import broadcast_if_small
+from folio.session import broadcast_if_small, spread
 
 __all__ = ["item_windows", "leak_windows", "leaks", "reduce_text", "template"]
 
@@ -185,7 +185,7 @@ def leak_windows(documents: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches):
             yield from _windows_pass(shared.value, screen.value if screen is not None else None)(batches)
 
-        return df.select(F.col(name).cast("bigint"), "text").mapInArrow(run, _WINDOWS_SQL)
+        return spread(df.select(F.col(name).cast("bigint"), "text")).mapInArrow(run, _WINDOWS_SQL)
 
     own = of(items, "item_id").withColumnRenamed("id", "item_id").withColumnRenamed("slots", "item_slots").distinct()
     hashes = own.select("h").distinct().limit(MAX_SCREEN + 1).toPandas()["h"].to_numpy()

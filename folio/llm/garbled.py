@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.session import spread
+
 __all__ = ["cost", "find_garbled", "passages", "repair", "restore_text", "unescape_literal"]
 
 #: Charsets that the search knows, fixed values: those a text was wrongly read in, and those it was written in.
@@ -280,7 +282,7 @@ def restore_text(responses: DataFrame) -> DataFrame:
                     rows.append((i, text, changed))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_OUT)], schema=_OUT)
 
-    return responses.select(F.col("response_id").cast("bigint"), "body", "truncated").mapInArrow(run, "response_id bigint, body string, passages bigint")
+    return spread(responses.select(F.col("response_id").cast("bigint"), "body", "truncated")).mapInArrow(run, "response_id bigint, body string, passages bigint")
 
 
 def find_garbled(responses: DataFrame) -> DataFrame:

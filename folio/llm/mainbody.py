@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.html.layout import Page, render, render_text
+from folio.session import spread
 
 __all__ = ["article_lines", "chrome_kind", "main_bodies", "main_line_heads", "main_lines", "split_page"]
 
@@ -272,7 +273,7 @@ def main_line_heads(pages: DataFrame, head: int = 60) -> DataFrame:
                 heads += own
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(heads, pa.string())], schema=_FOUND)
 
-    return pages.select(F.col("page_id").cast("bigint"), "html", "source_html").mapInArrow(run, "page_id bigint, line_head string")
+    return spread(pages.select(F.col("page_id").cast("bigint"), "html", "source_html")).mapInArrow(run, "page_id bigint, line_head string")
 
 
 def main_bodies(pages: DataFrame) -> DataFrame:
@@ -288,4 +289,4 @@ def main_bodies(pages: DataFrame) -> DataFrame:
                 rows.append((i, render_text(page, set(keep)), len(keep), len(page.lines) - len(keep)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_BODY)], schema=_BODY)
 
-    return pages.select(F.col("page_id").cast("bigint"), "html", "source_html").mapInArrow(run, "page_id bigint, text string, kept bigint, dropped bigint")
+    return spread(pages.select(F.col("page_id").cast("bigint"), "html", "source_html")).mapInArrow(run, "page_id bigint, text string, kept bigint, dropped bigint")

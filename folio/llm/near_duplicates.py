@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.session import broadcast_if_small, stage
+from folio.session import broadcast_if_small, spread, stage
 
 __all__ = ["candidate_pairs", "expand_pairs", "shingle_hashes", "shingle_table", "similar_pairs", "verified_pairs"]
 
@@ -94,7 +94,7 @@ def shingle_table(records: DataFrame, lines_of, words: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(wholes, pa.int64()), lists], schema=_SETS)
 
-    return records.mapInArrow(run, _SETS_SQL)
+    return spread(records).mapInArrow(run, _SETS_SQL)
 
 
 def _need(n_small, n_large, t: float):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.session import stage
+from folio.session import spread, stage
 
 __all__ = ["Plan", "choose_buckets", "count_tokens", "pack", "plan_containers"]
 
@@ -49,7 +49,7 @@ def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([ids, pa.array([None if t is None else len(_encode(encode, t)) for t in texts], pa.int64())], ["doc_id", "n_tokens"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint").where("doc_id is not null and n_tokens is not null")
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(run, "doc_id bigint, n_tokens bigint").where("doc_id is not null and n_tokens is not null")
 
 
 def _encode(encode, text: str) -> list[int]:

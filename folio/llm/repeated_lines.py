@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.html.layout import render
-from folio.session import broadcast_if_small, stage
+from folio.session import broadcast_if_small, spread, stage
 
 __all__ = ["chunk_letters", "letters_of", "line_table", "remove_repeated", "repeated_lines"]
 
@@ -134,7 +134,7 @@ def line_table(pages: DataFrame, markup: bool = True, text_col: str = "html", id
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, LINES)], schema=LINES)
 
-    return pages.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "page_id bigint, key bigint, head string, first boolean, chunks array<bigint>, fresh array<bigint>")
+    return spread(pages.select(F.col(id_col).cast("bigint"), F.col(text_col))).mapInArrow(run, "page_id bigint, key bigint, head string, first boolean, chunks array<bigint>, fresh array<bigint>")
 
 
 def repeated_lines(lines: DataFrame, doc_source: DataFrame, min_docs: int = 3, min_share: float = 0.10) -> DataFrame:

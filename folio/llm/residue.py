@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from folio.html.layout import Page, render
 from folio.llm.mainbody import article_lines
 from folio.operators.sites import host_of
-from folio.session import stage
+from folio.session import spread, stage
 
 __all__ = ["classify_message", "find_residue", "mask_message", "page_evidence", "residue_messages"]
 
@@ -191,7 +191,7 @@ def evidence_table(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
     picked = pages.select(F.col("page_id").cast("bigint"), host_of(F.col("url")).alias("source"), "html")
-    return picked.mapInArrow(run, "page_id bigint, source string, direct boolean, messages array<struct<hash: bigint, text: string>>")
+    return spread(picked).mapInArrow(run, "page_id bigint, source string, direct boolean, messages array<struct<hash: bigint, text: string>>")
 
 
 def _hash(s: str) -> int:
