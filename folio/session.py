@@ -83,7 +83,7 @@ def spread(df: DataFrame, below: int = 64 << 20) -> DataFrame:
 
     One small file is one task, however many cores wait; at any size worth the name the scan's own splits are more than the cores.
     """
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < below:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < below:
         return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism))
     return df
 
