@@ -102,6 +102,7 @@ _WHOLE_BOX = frozenset(("comments", "reply", "related", "footer", "cookie", "let
 _PIPES = re.compile(r"[^|·•/]{1,30}(?: ?[|·•/] ?[^|·•/]{1,30}){2,}")
 _SENTENCE_END = re.compile(r"[.!?。！？…][\"'”»“]?$")
 _FLOW = frozenset("p li ul ol td th tr tbody thead tfoot table caption blockquote figure figcaption pre h1 h2 h3 h4 h5 h6 dl dt dd".split())
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _SECTIONS = frozenset("section article main body hgroup".split())
 _CHROME_TAGS = frozenset("nav footer aside menu form dialog".split())
 
@@ -200,6 +201,10 @@ def article_lines(page: Page) -> list[int]:
         while b > 0 and b not in spine:
             if b in dropped or boxes[b][1] in _CHROME_TAGS:
                 gone = True
+                # a heading alone was dropped: what it heads stands beside it
+                if b in dropped and boxes[b][1] in _HEADS:
+                    skip_list = skip_list or kind == "related"
+                    comments = comments or kind == "comments"
                 break
             chain.append(b)
             b = boxes[b][0]

@@ -145,26 +145,25 @@ def page_evidence(page: Page) -> tuple[bool, list[str], bool]:
     keep = article_lines(page)
     if not keep:  # nothing but chrome: no block stands where an article should be
         return False, [], False
-    own = [(page.lines[n][0], page.lines[n][2]) for n in keep]
-    text = [(t, tag) for t, tag in own if tag not in ("pre", "code", "listing")]
-    prose = slots = filler = 0
-    for n, (t, tag) in zip([n for n in keep if page.lines[n][2] not in ("pre", "code", "listing")], text):
-        if SLOT.search(_without_code(page, n, t)):
-            slots += 1
+    # code is quoted, not shown in place of text: blocks of it are left out, inline pieces removed
+    text = [_without_code(page, n) for n in keep if page.lines[n][2] not in ("pre", "code", "listing")]
+    prose = filler = 0
+    for t in text:
+        if SLOT.search(t):
+            return True, [], False
         if _lorem(t):
             filler += len(t)
         else:
             prose += len(t)
-    if slots:
-        return True, [], False
     if filler and filler >= prose:
         return True, [], False
-    if not text or len(text) > 8 or any(len(t) > 300 for t, tag in text if not _repeats(t)):
+    if not text or len(text) > 8 or any(len(t) > 300 and not _repeats(t) for t in text):
         return False, [], False
-    return False, [mask_message(t) for t, _ in text], True
+    return False, [mask_message(t) for t in text], True
 
 
-def _without_code(page: Page, n: int, text: str) -> str:
+def _without_code(page: Page, n: int) -> str:
+    text = page.lines[n][0]
     for code in page.codes.get(n, ()):
         text = text.replace(code, " ")
     return text
