@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from folio.extract.markdown import to_markdown
 from folio.extract.metadata import clean, metadata
-from folio.extract.readability import article
+from folio.extract.readability import article, candidates
 from folio.functions.site import is_tracker_host, same_site_hosts
 from folio.functions.url import join, parse as parse_url
 from folio.html.serialize import document_html
 from folio.html.tree import ELEMENT, parse
 from folio.schema import LINK, READING, READING_SQL
 
-__all__ = ["assets", "import_specifiers", "links", "prefetch", "read_one", "read_page", "refresh_target", "serialize", "visible_text"]
+__all__ = ["assets", "import_specifiers", "links", "prefetch", "read_one", "read_page", "refresh_target", "scored_blocks", "serialize", "visible_text"]
 
 #: Selector, attribute and kind of what a page pulls in, in order (fixed values).
 ASSETS = (("script", "src", "script"), ("link", "href", "link"), ("img", "src", "image"), ("source", "src", "media"), ("video", "src", "media"), ("audio", "src", "media"), ("iframe", "src", "frame"))
@@ -185,6 +185,14 @@ def import_specifiers(source: str | None) -> list[str]:
     return out[:MAX_SPECIFIERS]
 
 
+_BLOCK = pa.struct([("node_id", pa.int32()), ("tag", pa.string()), ("score", pa.float64()), ("text_len", pa.int64()), ("link_density", pa.float64())])
+
+
+def _scored(html: str | None) -> list[dict]:
+    tree = parse(html)
+    return [{"node_id": c.node, "tag": tree.tag[c.node], "score": round(c.score, 6), "text_len": c.text_len, "link_density": round(c.link_density, 6)} for c in candidates(tree)]
+
+
 _SKIPPED = frozenset("script style template noscript".split())
 
 
@@ -206,7 +214,8 @@ def _visible(html: str | None) -> str:
 @cache
 def _udf(name: str):
     two = {"assets": (_assets, pa.list_(_ASSET), "array<struct<url: string, kind: string, rel: string>>"), "prefetch": (_prefetch, pa.list_(pa.string()), "array<string>"), "refresh": (_refresh, pa.string(), "string")}
-    one = {"serialize": (lambda h: document_html(parse(h)), pa.string(), "string"), "visible": (_visible, pa.string(), "string"), "imports": (import_specifiers, pa.list_(pa.string()), "array<string>")}
+    one = {"serialize": (lambda h: document_html(parse(h)), pa.string(), "string"), "visible": (_visible, pa.string(), "string"), "imports": (import_specifiers, pa.list_(pa.string()), "array<string>"),
+           "scored": (_scored, pa.list_(_BLOCK), "array<struct<node_id: int, tag: string, score: double, text_len: bigint, link_density: double>>")}
     if name in two:
         f, kind, sql = two[name]
 
@@ -249,3 +258,8 @@ def visible_text(html: Column) -> Column:
 
 def imports(source: Column) -> Column:
     return _udf("imports")(source)
+
+
+def scored_blocks(html: Column) -> Column:
+    """Blocks scored for the article, in document order."""
+    return _udf("scored")(html)

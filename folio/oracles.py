@@ -129,6 +129,9 @@ SELECT page_id, {_strip('t')} AS title, CASE WHEN contains(ty, 'Article') AND ld
 SELECT page_id, CAST(n AS BIGINT) AS n, href FROM l""",
         "element_counts": "SELECT lower(regexp_extract(x, '<([a-zA-Z0-9]+)', 1)) AS tag, count(*) AS elements FROM (SELECT unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', '', 'g'), '(?i)<(?:div|h1|h2|h3|h4|ul|ol|li|blockquote|figure|nav|header|footer|aside|main|article|section|img|pre)(?:[ >])')) AS x FROM pages) GROUP BY 1",
         "head_titles": f"SELECT page_id, trim(replace(replace(replace({_TITLE}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages WHERE {_TITLE} <> ''",
+        "meta_tags": """WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<meta (?:name|property)="([^"]+)" content="([^"]*)">', 1)) AS key, unnest(regexp_extract_all(html, '<meta (?:name|property)="([^"]+)" content="([^"]*)">', 2)) AS content, unnest(range(1, 100)) AS k FROM pages)
+SELECT page_id, lower(key) AS key, arg_min(content, k) AS content FROM m WHERE trim(content) <> '' GROUP BY 1, 2""",
+        "sql_functions": f"""SELECT page_id, CAST(len(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?is)<noscript[^>]*>.*?</noscript>', '', 'g'), '(?i)<li[ >]')) AS INT) AS items, {host('url')} AS host, regexp_replace(regexp_replace(lower(regexp_extract(url, '^([a-z]+://[^/]*)', 1)), '^(https://.*):443$', '\\1'), '^(http://.*):80$', '\\1') || '/x?y#z' AS target FROM pages""",
         "seed_score": "SELECT doc_id, round(1.0 + length(t) - length(replace(t, ',', '')) + length(t) - length(replace(t, '，', '')) + least(length(t) / 100.0, 3.0), 4) AS score FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
         "strip_site_suffix": f"WITH t AS (SELECT doc_id, title || ' - ' || coalesce(source, '') AS t FROM documents WHERE title IS NOT NULL) SELECT doc_id, {_strip('t')} AS title FROM t",
         "truncate_chars": """WITH c AS (SELECT doc_id, regexp_replace(text, '[ \t\r\n]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, t, left(t, 300) AS cut, regexp_extract(left(t, 300), '(?s)^(.*) ', 1) AS head FROM c)

@@ -12,7 +12,7 @@ from folio.css.plan import select_nodes
 from folio.functions import charset, cookies, robots, site, text, url
 from folio.functions.modules import resolve_specifier
 from folio.html.nodes import html_nodes
-from folio.operators import clock, corpus, navigation, reading
+from folio.operators import clock, corpus, dom, navigation, reading
 from folio.operators.sites import host_of, page_sites
 from folio.operators.timestamps import normalise_timestamps
 from folio.oracles import ADDRESSES, COOKIES, EDGES, GLOBS, HOSTS, ROBOTS, SELECTORS, oracle_sql
@@ -233,6 +233,71 @@ def element_siblings(spark, t):
     return e.where("tag = 'h2'").select("page_id", "node_id", "before", "after")
 
 
+@query
+def dom_children(spark, t):
+    """Element children of each body, in order."""
+    n = stage(html_nodes(t("pages")), "nodes")
+    return dom.children(n.where("node_type = 1"), n.where("tag = 'body'")).select("page_id", "node_id", "tag", "elem_idx")
+
+
+@query
+def dom_descendants(spark, t):
+    """Elements below each list."""
+    n = stage(html_nodes(t("pages")).where("node_type = 1"), "nodes")
+    return dom.descendants(n, n.where("tag in ('ul', 'ol')")).groupBy("page_id", "ancestor_id").agg(F.count("*").alias("elements"))
+
+
+@query
+def dom_ancestors(spark, t):
+    """Ancestors of each link, nearest first."""
+    return dom.ancestors(html_nodes(t("pages")).where("tag = 'a'"))
+
+
+@query
+def dom_closest(spark, t):
+    """Nearest block that each link stands in."""
+    return html_nodes(t("pages")).where("node_type = 1 and tag = 'a'").select("page_id", "node_id", dom.closest(["p", "li", "td", "div"]).alias("block"))
+
+
+@query
+def dom_contains(spark, t):
+    """Figures and what of their captions they contain, by intervals within a page."""
+    n = stage(html_nodes(t("pages")).where("node_type = 1 and tag in ('figure', 'figcaption')").select("page_id", "node_id", "tag", "pre", "post"), "nodes")
+    pairs = n.where("tag = 'figure'").alias("a").join(n.where("tag = 'figcaption'").alias("b"), F.expr("a.page_id = b.page_id")).where(dom.contains())
+    return pairs.select("a.page_id", F.col("a.node_id").alias("figure"), F.col("b.node_id").alias("caption"))
+
+
+@query
+def dom_text(spark, t):
+    """Text of each headline and of each body as shown."""
+    n = stage(html_nodes(t("pages")).select("page_id", "node_id", "node_type", "tag", "pre", "text", "path", "path_tags"), "nodes")
+    heads = dom.text_content(n, n.where("tag = 'h1'")).withColumn("of", F.lit("h1"))
+    bodies = dom.rendered_text(n, n.where("tag = 'body'")).withColumn("of", F.lit("body"))
+    return heads.unionByName(bodies).select("page_id", "node_id", "of", text.clean(F.col("text")).alias("text"))
+
+
+@query
+def meta_tags(spark, t):
+    """What each page's meta elements declare."""
+    return dom.meta_tags(html_nodes(t("pages")))
+
+
+@query
+def candidates(spark, t):
+    """Blocks of each page that were scored for the article."""
+    return spread(t("pages")).select("page_id", F.explode(reading.scored_blocks(F.col("html"))).alias("c")).select("page_id", "c.*")
+
+
+@query
+def sql_functions(spark, t):
+    """The registered functions from SQL."""
+    from folio.sql import register
+
+    register(spark)
+    t("pages").createOrReplaceTempView("folio_pages")
+    return spark.sql("select page_id, size(css_select(html, 'li')) as items, url_parts(url).host as host, url_join(url, '/x?y#z') as target from folio_pages")
+
+
 # ---- markup by expressions
 
 

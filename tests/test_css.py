@@ -50,3 +50,22 @@ def test_plan_agrees_with_matcher(spark):
         got = {(r.page_id, r.node_id) for r in select_nodes(nodes, selector).collect()}
         assert got == want, selector
     nodes.unpersist()
+
+
+def test_navigation_over_nodes(spark):
+    from pyspark.sql import functions as F
+
+    from folio.operators import dom
+
+    n = html_nodes(spark.createDataFrame([(1, "<meta name=A content=''><meta name=a content=x><meta property=a content=y><div><p>a<b>c</b></p><script>s</script><p></p></div>"), (2, None)], "page_id bigint, html string")).persist()
+    div = n.where("tag = 'div'")
+    assert [r.tag for r in dom.children(n, div).orderBy("sib_idx").collect()] == ["p", "script", "p"]
+    assert dom.descendants(n.where("node_type = 1"), div).count() == 4
+    assert dom.text_content(n, div).first().text == "acs" and dom.rendered_text(n, div).first().text == "ac"
+    assert [r.tag for r in dom.ancestors(n.where("tag = 'b'")).orderBy("n").collect()][:4] == ["p", "div", "body", "html"]
+    b = n.where("tag = 'b'").select(dom.closest(["div"]).alias("c")).first().c
+    assert b == div.first().node_id
+    pairs = n.where("tag = 'div'").alias("a").join(n.where("tag = 'b'").alias("b"), F.expr("a.page_id = b.page_id")).where(dom.contains())
+    assert pairs.count() == 1
+    assert [(r.key, r.content) for r in dom.meta_tags(n).collect()] == [("a", "x")]
+    n.unpersist()
