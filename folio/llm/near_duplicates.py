@@ -235,7 +235,7 @@ def _meet(cols: list[np.ndarray], t: float) -> Iterator[pa.RecordBatch]:
             a_out.append(np.minimum(x, y))
             b_out.append(np.maximum(x, y))
             held += len(x)
-            if held > 200_000:
+            if held > 1_000_000:
                 yield _pair_batch(a_out, b_out)
                 a_out, b_out, held = [], [], 0
         step += 1
@@ -243,9 +243,17 @@ def _meet(cols: list[np.ndarray], t: float) -> Iterator[pa.RecordBatch]:
         yield _pair_batch(a_out, b_out)
 
 
+def _different(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs, sorted."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def _pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIRS)
+    return pa.RecordBatch.from_arrays(list(map(pa.array, _different(np.concatenate(a), np.concatenate(b)))), schema=_PAIRS)
 
 
 _bits = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint16)
@@ -282,9 +290,9 @@ def verified_pairs(candidates: DataFrame, sets: DataFrame, t: float, blocks: int
         ids = ids[order]
         n = sigs.column("n").to_numpy()[order]
         maps = sigs.column("sig").to_pylist()
-        raw = np.unique(np.stack((pairs.column("a").to_numpy(), pairs.column("b").to_numpy()), axis=1), axis=0) if pairs.num_rows else np.zeros((0, 2), np.int64)
-        ia, ib = np.searchsorted(ids, raw[:, 0]), np.searchsorted(ids, raw[:, 1])
-        keep = np.zeros(len(raw), dtype=bool)
+        a, b = _different(pairs.column("a").to_numpy(), pairs.column("b").to_numpy())
+        ia, ib = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        keep = np.zeros(len(a), dtype=bool)
         need = _need(n[ia], n[ib], t)
         width = np.fromiter((len(m) for m in maps), dtype=np.int64, count=len(maps))[order] if maps else np.zeros(0, np.int64)
         # pairs of equal width at once, others one by one
@@ -304,7 +312,7 @@ def verified_pairs(candidates: DataFrame, sets: DataFrame, t: float, blocks: int
         for k in np.flatnonzero(width[ia] != width[ib]):
             x, y = maps[order[ia[k]]], maps[order[ib[k]]]
             keep[k] = min(n[ia[k]] - _outside(x, y), n[ib[k]] - _outside(y, x)) >= need[k]
-        return pa.table({"a": raw[keep, 0], "b": raw[keep, 1]})
+        return pa.table({"a": a[keep], "b": b[keep]})
 
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     pairs = candidates.select("a", "b", F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"))
