@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["ascii_lower", "clean", "error_signature", "front_matter", "glob_matches", "lines", "seed_score", "strip_site_suffix", "truncate_chars"]
+__all__ = ["ascii_lower", "clean", "error_signature", "front_matter", "fetch_pattern_matches", "glob_matches", "lines", "seed_score", "strip_site_suffix", "truncate_chars"]
 
 _WHITE = r"[\s\x{85}\p{Z}]"
 #: Separators between a title and the name of its site, in the order in which they are tried (fixed values).
@@ -68,6 +68,11 @@ def glob_matches(text: Column, pattern: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"(?s)\A"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit(r"\z")))
 
 
+def fetch_pattern_matches(url: Column, kind: Column, pattern: Column, wanted: Column) -> Column:
+    """A pattern fits an address, and a kind of resource if it names one, whatever its case."""
+    return glob_matches(url, pattern) & (wanted.isNull() | (F.lower(wanted) == F.lower(kind)))
+
+
 def front_matter(title: Column, author: Column, site: Column, published: Column, url: Column, description: Column, length: Column, low: Column) -> Column:
     """YAML head of a reading: quoted fields that are there, the length, and the flag if it is set."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import error_signature
 
-__all__ = ["class_counts", "classify", "dedup_deliveries", "error_counts", "latency", "top_failures"]
+__all__ = ["class_counts", "classify", "dedup_deliveries", "error_counts", "latency", "run_medians", "top_failures"]
 
 #: A page with less visible text than this counts as empty.
 EMPTY = 400
@@ -67,3 +67,10 @@ def latency(reads: DataFrame, keys: list[str]) -> DataFrame:
 
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     return ranked.groupBy(*keys).agg(F.first("total").alias("reads"), ((at(low) + at(high)) / 2).alias("median_ms"), at(F.floor(F.col("total") * 9 / 10)).alias("p90_ms"))
+
+
+def run_medians(runs: DataFrame, keys: list[str], order: str, value: str, warm_up: int = 1) -> DataFrame:
+    """(keys, runs, median): the middle of repeated measurements, the first ``warm_up`` of each left out."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    kept = runs.where(F.col(value).isNotNull()).withColumn("_n", n).where(F.col("_n") > warm_up)
+    return kept.groupBy(*keys).agg(F.count("*").alias("runs"), F.median(value).alias("median"))

@@ -147,6 +147,8 @@ SELECT page_id, CASE WHEN error IS NULL THEN '{"kind":"' || k || '","url":"' ||
         "corpus_errors": f"WITH {_READS} SELECT signature, count(*) AS reads FROM (SELECT DISTINCT read_id, {_signature('e')} AS signature FROM (SELECT read_id, unnest(errors) AS e FROM reads)) GROUP BY 1 ORDER BY reads DESC, signature LIMIT 15",
         "corpus_failures": f"WITH {_READS} SELECT left(failure, 60) AS failure, count(*) AS reads FROM reads WHERE failure <> '' GROUP BY 1 ORDER BY reads DESC, failure LIMIT 8",
         "latency_median_p90": f"WITH {_READS}, o AS (SELECT site, ms, row_number() OVER (PARTITION BY site ORDER BY ms) - 1 AS k, count(*) OVER (PARTITION BY site) AS n FROM reads WHERE status = 200 AND ms > 0) SELECT site, CAST(any_value(n) AS BIGINT) AS reads, round(median(ms), 1) AS median_ms, max(CASE WHEN k = floor(n * 9 / 10) THEN ms END) AS p90_ms FROM o GROUP BY site",
+        "read_medians": f"WITH {_READS}, p AS (SELECT read_id, arg_min(page_id, arrived_at) AS page_id FROM corpus_row WHERE read_id IS NOT NULL GROUP BY read_id), r AS (SELECT page_id, ms, row_number() OVER (PARTITION BY page_id ORDER BY read_id) AS n FROM reads JOIN p USING (read_id) WHERE status = 200 AND ms IS NOT NULL) SELECT page_id, count(*) AS runs, median(ms) AS median FROM r WHERE n > 1 GROUP BY page_id",
+        "fetch_patterns": f"SELECT DISTINCT response_id FROM (SELECT response_id, url, {_KINDS} AS kind FROM responses) WHERE contains(url, '/api/') AND kind = 'json'",
         "late_reads": "SELECT site, CAST(floor((epoch(date_trunc('second', arrived_at)) - epoch(date_trunc('second', started_at))) / 86400) AS BIGINT) AS days, count(DISTINCT read_id) AS reads FROM corpus_row WHERE read_id IS NOT NULL GROUP BY 1, 2",
         "feed_kinds": "SELECT f.kind AS kind, count(*) AS feeds, count(DISTINCT f.url) AS addresses FROM (SELECT unnest(feeds) AS f FROM page_meta) GROUP BY 1",
         "schema_types": "SELECT type, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(schema_types) AS type FROM page_meta) GROUP BY 1",

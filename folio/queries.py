@@ -588,6 +588,22 @@ def latency_median_p90(spark, t):
     return corpus.latency(corpus.dedup_deliveries(t("corpus_row")), ["site"]).select("site", "reads", F.round("median_ms", 1).alias("median_ms"), "p90_ms")
 
 
+@query
+def read_medians(spark, t):
+    """Median time of each page's successful reads, the first of each page left out as warm-up."""
+    reads = corpus.dedup_deliveries(t("corpus_row")).where("status = 200 and ms is not null")
+    return corpus.run_medians(reads, ["page_id"], "read_id", "ms")
+
+
+@query
+def fetch_patterns(spark, t):
+    """Responses that patterns of address and kind would catch."""
+    kind = charset.content_kind(charset.header(F.col("headers"), "content-type"), F.col("raw"))
+    rows = t("responses").select("response_id", "url", kind.alias("kind")).distinct()
+    hit = text.fetch_pattern_matches(F.col("url"), F.col("kind"), F.lit("*/api/*"), F.lit("JSON"))
+    return rows.where(hit).select("response_id")
+
+
 @query
 def late_reads(spark, t):
     """Reads by site and days that they arrived late."""
