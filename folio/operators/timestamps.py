@@ -214,7 +214,8 @@ def normalise_timestamps(values: DataFrame, sites: DataFrame, sure: float = 0.9)
     go forward or back), ``ambiguous`` (order undecided) or ``no zone``: these have no utc_s. Null values give ``no date``.
     """
     own = sites.where("site is not null").dropDuplicates(["site"]).select("site", "lang", "tz", "date_order")
-    rows = values.join(broadcast_if_small(own, 100_000), "site", "left").withColumn("p", _parse_column(F.col("value"), F.col("lang"), F.col("tz"), _known_zones(values.sparkSession)))
+    given = values.select("page_id", "field", "value", "site")  # other columns may have the names of those added here
+    rows = given.join(broadcast_if_small(own, 100_000), "site", "left").withColumn("p", _parse_column(F.col("value"), F.col("lang"), F.col("tz"), _known_zones(values.sparkSession)))
     # several steps use the parse: an explicit projection keeps it to one call
     rows = rows.select("page_id", "field", "value", "site", "date_order", "p.*")
     open_ = F.col("day_s").isNotNull() & F.col("month_s").isNotNull() & (F.col("day_s") != F.col("month_s"))

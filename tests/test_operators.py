@@ -26,7 +26,8 @@ CASES = [
 def test_timestamps(spark):
     values = spark.createDataFrame([(k, "published", v, s) for k, (s, v, _) in enumerate(CASES)] + [(99, "modified", None, "uk.example")], "page_id bigint, field string, value string, site string")
     sites = spark.createDataFrame(SITES, "site string, lang string, tz string, date_order string")
-    got = {r.page_id: r for r in normalise_timestamps(values, sites).collect()}
+    clash = values.withColumn("lang", F.lit("xx")).withColumn("tz", F.lit("x")).withColumn("format", F.lit(1)).withColumn("local", F.lit(2)).withColumn("p_day", F.lit(3))
+    got = {r.page_id: r for r in normalise_timestamps(clash, sites).collect()}
     for k, (_, v, want) in enumerate(CASES):
         s = None if want is None else int(datetime.fromisoformat(want).replace(tzinfo=timezone.utc).timestamp())
         assert got[k].utc_s == s, (v, got[k])
