@@ -169,8 +169,8 @@ def element_counts(spark, t):
 @query
 def head_titles(spark, t):
     """Title of each page from the node table: the first title in the head."""
-    n = stage(html_nodes(t("pages")).where("path_tags[0] = 'head' or path_tags[0] = 'title'"), "nodes")
-    titles = n.where("node_type = 1 and tag = 'title' and path_tags[0] = 'head'").groupBy("page_id").agg(F.min_by("node_id", "pre").alias("parent_id"))
+    n = stage(html_nodes(t("pages")).where("get(path_tags, 0) = 'head' or get(path_tags, 0) = 'title'"), "nodes")
+    titles = n.where("node_type = 1 and tag = 'title' and get(path_tags, 0) = 'head'").groupBy("page_id").agg(F.min_by("node_id", "pre").alias("parent_id"))
     words = n.where("node_type = 3").join(titles, ["page_id", "parent_id"]).select("page_id", F.trim("text").alias("title"))
     return words
 
