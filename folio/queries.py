@@ -642,11 +642,21 @@ def timer_fire_order(spark, t):
 
 @query
 def timer_intervals(spark, t):
-    """Firings of repeating timers up to the horizon."""
+    """Firings of the repeating timers of at least 500 ms up to the horizon; ``timer_intervals_all`` has every period."""
     out = clock.fire_order(_timers(t).where("repeat and delay_ms >= 500"), keys=["user_id"])
     return out.groupBy("user_id", "timer_id").agg(F.count("*").alias("fired"), F.max("due_ms").alias("last_ms"))
 
 
+@query
+def timer_intervals_all(spark, t):
+    """Firings of all repeating timers up to the horizon, also those of under 500 ms that ``timer_intervals`` and its SQL leave out.
+
+    Only the horizon ends them, no budget per user does.
+    """
+    out = clock.fire_order(_timers(t).where("repeat"), max_fired=None, keys=["user_id"])
+    return out.groupBy("user_id", "timer_id").agg(F.count("*").alias("fired"), F.max("due_ms").alias("last_ms"))
+
+
 @query
 def admitted_requests(spark, t):
     """Requests of each page within its budget."""
