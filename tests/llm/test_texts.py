@@ -298,6 +298,20 @@ def test_subjects_of_awkward_tables(spark):
     assert subjects.mixture(None, model)[1] == 0
 
 
+def test_a_text_on_a_third_of_all_rows_has_its_subject(spark):
+    rng = random.Random(5)
+    words = {"law": "court judge verdict appeal lawyer statute clause trial jury bench".split(), "sport": "goal match referee league striker keeper pitch trophy season coach".split()}
+    make = lambda s: " ".join(w for _ in range(6) for w in (*rng.sample(words[s], 4), *rng.sample(["the", "and", "of", "was"], 3))) + "."
+    subject = {k: "law" if k % 2 else "sport" for k in range(120)}
+    rows = [(k, make(s)) for k, s in subject.items()] + [(1000 + k, "The court and the judge gave the verdict of the trial.") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, s) for k, s in subject.items() if k % 5 < 3], "doc_id bigint, subject string")
+    model = subjects.fit(subjects.fit_sample(docs, labels), ["law", "sport"])
+    assert not {"the", "and", "of", "was"} & set(model.terms)
+    got = {(r.doc_id, r.subject) for r in subjects.assign(docs, model).collect()}
+    assert got == {(k, s) for k, s in subject.items()} | {(1000 + k, "law") for k in range(60)}
+
+
 def test_mixture_of_two_subjects():
     model = subjects.Model(["law", "sport"], {"court": (0, 0, 0.9), "goal": (1, 1, 0.9)})
     mix, n = subjects.mixture("The court sat for long today. A goal fell in the end today. Nothing else was said.", model)
