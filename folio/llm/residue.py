@@ -3,7 +3,8 @@
 One Arrow pass lays each page out, finds the place of its article and gives
 
 * a direct verdict where a *placeholder rule* holds: an unfilled slot in any line
-  outside code, or filler text (dummy-text words, repeated stand-ins);
+  outside code, a printed empty value as a line or field, or filler text (dummy-text
+  words, repeated stand-ins); and where a larger page is for the most part known messages;
 * for pages that show hardly any prose there, their *messages*: the lines with
   numbers, addresses and dates masked, hashed after normalisation.
 
@@ -32,11 +33,15 @@ __all__ = ["classify_message", "find_residue", "mask_message", "page_evidence",
 
 #: Unfilled slots of common template languages, fixed patterns.
 SLOT = re.compile(
-    r"\{\{[^{}\n]{0,80}\}\}|\{%[^%\n]{0,80}%\}|<%[^%\n]{0,80}%>|<\?(?:php|=)[^?\n]{0,80}\?>|[$#]\{[^{}\n]{0,80}\}"
-    r"|@@[\w.\- ]{1,60}@@|%%[\w.\- ]{1,60}%%|\[\[[\w.\- ]{1,60}\]\]|(?<![\w])__[A-Za-z][\w.]{0,60}?__(?!\w)|\[%[^%\n]{0,80}%\]|\{(?:[a-z]+[._])+[a-z]+\}|%\([\w.]+\)s"
+    r"\{\{[^{}\n]*\}\}|\{%[^%\n]*%\}|<%[^%\n]*%>|<\?(?:php|=)[^?\n]*\?>|[$#]\{[^{}\n]*\}"
+    r"|@@[\w.\- ]{1,60}@@|%%[\w.\- ]{1,60}%%|\[\[[\w.\- ]{1,60}\]\]|(?<![\w])__[A-Za-z][\w.]{0,60}?__(?!\w)|\[%[^%\n]*%\]|\{(?:[a-z]+[._])+[a-z]+\}|%\([\w.]+\)s"
 )
 #: Printed forms of an empty value, whole line or whole parts of one.
 _EMPTY = re.compile(r"(?:undefined|null|none|nan|nil|\[object object\]|\(?no title\)?|\(?untitled\)?|n/a|\(null\)|\(none\)|—|-|–|\.\.\.|…)", re.I)
+#: Those that no writer would set as a line or field of its own, in the case in which programs print them; dashes, "n/a" and "none" may be meant.
+_PRINTED = re.compile(r"undefined|null|NaN|\[object Object\]|\(null\)|\(undefined\)")
+_FIELDS = re.compile(r"\s*[·•|]\s*")
+_VALUE = re.compile(r"[^:.!?]{1,40}: ?(.*)")
 _EMPTY_WIDE = re.compile(r"\[object object\]|\(?no title\)?", re.I)
 _EMPTY_SPLIT = re.compile(r"\s*[·|,/:;]\s*|\s+")
 #: Words of the usual dummy text, fixed values.
@@ -76,7 +81,7 @@ _ERROR = re.compile(
     r"|.{0,40}(?:page|adresse|article).{0,40}(?:introuvable|n[’']existe (?:pas|plus)|pas (?:été )?trouvée?)\b.{0,40}|.{0,40}no (?:encontramos|se encontró|se ha encontrado|existe).{0,60}|.{0,40}página no (?:encontrada|existe|disponible).{0,40}|.{0,40}(?:seite|artikel|datei).{0,30}nicht (?:gefunden|vorhanden|verfügbar).{0,40}|.{0,40}(?:страниц\w*|стать\w*|файл\w*) (?:не (?:найден\w*|существует|доступн\w*)|удален\w*|удалён\w*).{0,40}"
     r"|.{0,40}\b(?:something|anything) went wrong\b.{0,60}|an? (?:unexpected |internal |unknown )?(?:error|fault|problem|exception) (?:has )?occurred\b.{0,80}|une erreur .{0,60}(?:survenue|produite).{0,40}|.{0,20}algo (?:salió|ha salido|fue) mal.{0,40}|se (?:ha producido|produjo) un error.{0,60}|.{0,10}(?:es )?ist ein .{0,20}fehler aufgetreten.{0,60}|es ist ein fehler .{0,60}|etwas ist schief.{0,40}|что-то пошло не так.{0,40}|произошла .{0,20}ошибка.{0,60}"
     r"|.{0,40}\b(?:internal|server|application|system|fatal|runtime|database) (?:server )?(?:error|fault|exception)\b.{0,100}|.{0,20}internal (?:error|fault).{0,60}|fatal(?: error)?: .{0,140}|application error.{0,100}|see the console for details\.?"
-    r"|.{0,40}database (?:connection|error).{0,80}|(?:error establishing|could not connect).{0,80}|sqlstate.{0,80}|[\w.]+(?:exception|error)(?: at|:| in)? .{0,140}|traceback .{0,80}|(?:warning|notice|parse error|uncaught \w+): .{0,140}|at [\w.$]+\([\w.:# ]*\)"
+    r"|.{0,40}database (?:connection|error).{0,80}|(?:error establishing|could not connect).{0,80}|sqlstate.{0,80}|[\w.]+(?:exception|error)(?: at|:| in)? .{0,140}|traceback .{0,80}|(?:warning|notice|parse error|uncaught \w+): .{0,140}|at [\w.$#<>]+\([\w.:# ]*\)"
     r"|.{0,40}\b(?:service|site|page|server|website)\b.{0,30}\b(?:temporarily )?(?:unavailable|offline|down)\b.{0,60}|temporarily unavailable.{0,40}|.{0,20}(?:we are |under |carrying out |scheduled )maintenance\b.{0,80}|come back (?:in a few minutes|later|soon).{0,20}|bad gateway|gateway time-?out|.{0,40}(?:temporairement|momentanément) indisponible.{0,40}|.{0,30}en maintenance.{0,40}|.{0,40}(?:temporalmente|momentáneamente) no disponible.{0,40}|.{0,30}en mantenimiento.{0,40}|.{0,40}(?:vorübergehend|derzeit|zurzeit) nicht (?:erreichbar|verfügbar).{0,40}|.{0,30}wartungsarbeiten.{0,40}|.{0,40}временно недоступ.{0,40}|.{0,30}(?:технические|ведутся).{0,20}работы.{0,40}"
     r"|too many requests.{0,60}|slow down and try again.{0,40}|rate limit.{0,60}|.{0,20}trop de requêtes.{0,40}|demasiadas (?:solicitudes|peticiones).{0,40}|zu viele anfragen.{0,40}|слишком много запросов.{0,40}"
     r"|.{0,30}checking (?:that you are|if you are|you are|your browser).{0,60}|(?:verify|confirm|prove) (?:that )?you are (?:a )?human.{0,60}|are you (?:a )?(?:human|robot).{0,40}|this takes a few seconds\..{0,60}|.{0,20}vérif\w+ que vous êtes .{0,20}humain.{0,40}|.{0,20}no (?:es|eres) un robot.{0,40}|.{0,20}(?:dass )?sie (?:ein mensch|kein roboter).{0,40}|.{0,20}что вы (?:не робот|человек).{0,40}|captcha.{0,40}"
@@ -114,6 +119,15 @@ def _repeats(text: str) -> bool:
     return len(parts) >= 3 and len(set(parts)) == 1
 
 
+def _printed_empty(text: str) -> bool:
+    """A whole line, a separated field or the value after a short name is the printed form of an empty value."""
+    for part in _FIELDS.split(text.strip()):
+        named = _VALUE.fullmatch(part)
+        if _PRINTED.fullmatch(part) or named and _PRINTED.fullmatch(named[1]):
+            return True
+    return False
+
+
 def classify_message(masked: str) -> str | None:
     """The kind of a masked message: ``slot``, ``empty``, ``filler``, ``scripts``, ``error``; None for other text."""
     if SLOT.search(masked):
@@ -128,11 +142,16 @@ def classify_message(masked: str) -> str | None:
             return "scripts"
         if _ERROR.fullmatch(masked):
             return "error"
-    parts = [p.strip() for p in re.split(r"(?<=[.!?…])\s+", masked) if p.strip()]
-    if 1 < len(parts) <= 4 and len(masked) <= 300:
-        kinds = [_FILLER.fullmatch(p) and "filler" or _SCRIPTS.fullmatch(p) and "scripts" or _ERROR.fullmatch(p) and "error" for p in parts]
-        if all(kinds):
-            return kinds[0]
+    # a longer one is made of known sentences and frames of a trace
+    parts = [p.strip() for p in re.split(r"(?<=[.!?…])\s+|\s+(?=at [\w.$#<>]+\()", masked) if p.strip()]
+    if len(parts) > 1 and all(len(p) <= 220 for p in parts):
+        first = None
+        for p in parts:
+            kind = _FILLER.fullmatch(p) and "filler" or _SCRIPTS.fullmatch(p) and "scripts" or _ERROR.fullmatch(p) and "error"
+            if not kind:
+                return None
+            first = first or kind
+        return first
     return None
 
 
@@ -149,7 +168,7 @@ def page_evidence(page: Page) -> tuple[bool, list[str], bool]:
     text = [_without_code(page, n) for n in keep if page.lines[n][2] not in ("pre", "code", "listing")]
     prose = filler = 0
     for t in text:
-        if SLOT.search(t):
+        if SLOT.search(t) or _printed_empty(t):
             return True, [], False
         if _lorem(t):
             filler += len(t)
@@ -157,11 +176,24 @@ def page_evidence(page: Page) -> tuple[bool, list[str], bool]:
             prose += len(t)
     if filler and filler >= prose:
         return True, [], False
-    if not text or len(text) > 8 or any(len(t) > 300 and not _repeats(t) for t in text):
+    if not text:
         return False, [], False
+    if len(text) > 8 or any(len(t) > 300 and not _repeats(t) for t in text):
+        # more than messages usually take: known messages must be most of it
+        return _mostly_messages(text), [], False
     return False, [mask_message(t) for t in text], True
 
 
+def _mostly_messages(text: list[str]) -> bool:
+    left = sum(map(len, text)) / 2
+    for t in sorted(text, key=len, reverse=True):  # an article is known by its longest lines
+        if classify_message(mask_message(t)) is None:
+            left -= len(t)
+            if left < 0:
+                return False
+    return True
+
+
 def _without_code(page: Page, n: int) -> str:
     text = page.lines[n][0]
     for code in page.codes.get(n, ()):

@@ -145,6 +145,19 @@ def test_residue(spark):
     assert residue.find_residue(spark.createDataFrame([], PAGE_SQL)).count() == 0
 
 
+def test_residue_in_larger_pages(spark):
+    sound = f"<p>{LONG.format(1)}</p><p>{LONG.format(2)}</p>"
+    frames = "".join(f"<p>at com.example.Page.render{k}(Page.java:{k})</p>" for k in range(20))
+    rows = {
+        1: shell(sound + "<p>undefined</p>"), 2: shell(sound + "<p>[object Object] · NaN</p>"), 3: shell(sound + "<p>Place: null</p>"), 4: shell(sound.replace("boats", "{{ " + "item.text | default " * 6 + "}}")),
+        5: shell("<h1>Something went wrong</h1><p>An unexpected error occurred.</p>" + frames), 6: shell("<p>Insert body copy here.</p>" * 12), 7: shell("<h1>Application error</h1><p>" + "Something went wrong. " + " ".join(f"at com.example.Page.render{k}(Page.java:{k})" for k in range(20)) + "</p>"),
+        11: shell(sound + "<p><code>undefined</code> stands where the name was, says one.</p>"), 12: shell(sound + "<pre>undefined</pre>"), 13: shell(sound + "<p>The value is undefined, and null, in such a case.</p>"), 14: shell("<p>Nobody on the quay had seen so many gulls as on that grey morning, and the baker gave them what was left of the bread from the day before.</p>" * 2 + "<p>n/a</p><p>None</p>"),
+        15: shell(sound * 3 + "<p>Something went wrong.</p><p>Access denied</p><p>Error 404</p>"),
+    }
+    got = residue.find_residue(pages(spark, [(k, f"https://s{k}.example/", h, None) for k, h in rows.items()]))
+    assert sorted(r.page_id for r in got.collect()) == [1, 2, 3, 4, 5, 6, 7]
+
+
 def test_unknown_messages_count_where_they_recur(spark):
     rows = [(k, f"https://s{k}.example/", "<h1>Zzz brk 0x77 flarn</h1>", None) for k in range(5)] + [(10, "https://one.example/", "<h1>Brief note</h1>", None)]
     rows += [(20 + k, f"https://c{k}.example/", shell(f"<p>{LONG.format(7)}</p><p>{LONG.format(8)}</p>"), None) for k in range(6)]  # copies of a sound article
