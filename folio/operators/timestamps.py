@@ -1,14 +1,20 @@
 """Mixed timestamp formats and zones to one instant in UTC (problem 3).
 
-Each value is parsed under every format that it fits. Where day and month can be told either
-way, the interpretations compete: per source, expectation-maximisation estimates the
-mixture of orders. A value adds its likelihood under each valid parse (E step), the
-mixture follows from the responsibilities and the source's declared order as a prior
-(M step); the posterior chooses, and what stays undecided is marked as ambiguous.
-
-The sufficient statistics are three counts per source (day first only, month first only, either),
-so the iteration runs on one row per source whatever the number of values. Zones are
-resolved by Spark itself: a local time that the zone's clocks skip or show twice names no instant.
+Each value is parsed under every format that it fits. Where day and month can be told either way, two formats of the same
+shape (separator, width of the year, place of the time) compete, and *expectation-maximisation* over the mixture of
+formats of each source decides between them:
+
+* E step: a value is shared out over its valid parses by the weight of each format times the value's likelihood under it
+  (a weekday that a parse contradicts makes it unlikely);
+* M step: a format's weight follows from what fell to it, from the order that the source's other shapes show, and from
+  the declared order, a prior worth ``PRIOR`` values: a source that writes otherwise than it declares overrules it.
+
+The posterior of each source and shape chooses; what stays between the bounds is marked as ambiguous. The sufficient statistics
+are five counts per source and shape, so the iteration runs on one short row per source whatever the number of values. Zones
+are resolved by Spark itself: a local time that the zone's clocks skip or show twice names no instant.
+
+Plan: values are parsed once and staged; counts combine before their shuffle; the posteriors return to the values by a
+broadcast of checked size, else by a join salted within each source.
 """
 
 from __future__ import annotations
@@ -22,9 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.session import broadcast_if_small
+from folio.session import hot_join, stage
+
+__all__ = ["format_posteriors", "normalise_timestamps", "parse_value"]
 
-__all__ = ["normalise_timestamps", "order_posterior", "parse_value"]
+#: What a declared order weighs, in values of the source.
+PRIOR = 8.0
+#: What the order of the source's other shapes weighs in one shape, in values.
+SHARED = 4.0
+#: Likelihood of a parse that the value's own weekday contradicts, against 1.
+WRONG_DAY = 0.002
 
 #: Month names by language, fixed values; case folded, without closing dots. Languages written differently by case list both cases' forms.
 MONTHS = {
@@ -37,6 +50,18 @@ MONTHS = {
     "pt": ["janeiro jan", "fevereiro fev", "março marco mar", "abril abr", "maio mai", "junho jun", "julho jul", "agosto ago", "setembro set", "outubro out", "novembro nov", "dezembro dez"],
     "it": ["gennaio gen", "febbraio feb", "marzo mar", "aprile apr", "maggio mag", "giugno giu", "luglio lug", "agosto ago", "settembre set", "ottobre ott", "novembre nov", "dicembre dic"],
 }
+#: Names of the days from Monday by language, fixed values; case folded, without closing dots.
+WEEKDAYS = {
+    "en": "monday mon|tuesday tue tues|wednesday wed|thursday thu thur thurs|friday fri|saturday sat|sunday sun",
+    "fr": "lundi lun|mardi mar|mercredi mer|jeudi jeu|vendredi ven|samedi sam|dimanche dim",
+    "es": "lunes lun|martes mar|miércoles mié|jueves jue|viernes vie|sábado sáb|domingo dom",
+    "de": "montag mo|dienstag di|mittwoch mi|donnerstag do|freitag fr|samstag sonnabend sa|sonntag so",
+    "ru": "понедельник пн|вторник вт|среда ср|четверг чт|пятница пт|суббота сб|воскресенье вс",
+    "pl": "poniedziałek pon|wtorek wt|środa śr|czwartek czw|piątek pt|sobota sob|niedziela niedz",
+    "pt": "segunda-feira seg|terça-feira ter|quarta-feira qua|quinta-feira qui|sexta-feira sex|sábado sáb|domingo dom",
+    "it": "lunedì lun|martedì mar|mercoledì mer|giovedì gio|venerdì ven|sabato sab|domenica dom",
+}
+_WEEKDAYS = {lang: {name: k for k, names in enumerate(text.split("|")) for name in names.split()} for lang, text in WEEKDAYS.items()}
 _MONTH = {lang: {name: m for m, names in enumerate(rows, 1) for name in names.split()} for lang, rows in MONTHS.items()}
 #: Zone abbreviations in minutes east of UTC: European, North American and Japanese meaning, fixed values.
 ZONES = {
@@ -56,7 +81,7 @@ _FORMATS = [
     ("name_dmy", rf"{_WEEKDAY}(?P<d>\d{{1,2}})(?:st|nd|rd|th|\.|er|º|°)?[\s\-]*(?:de\s+|of\s+)?{_NAME}[\s\-]*,?\s*(?:de\s+|del\s+)?(?P<y>\d{{4}}|\d{{2}})(?:\s*(?:г\.?|года))?{_JOIN}{_TIME}{_ZONE}"),
     ("name_mdy", rf"{_WEEKDAY}{_NAME}\s*(?P<d>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<y>\d{{4}}){_JOIN}{_TIME}{_ZONE}"),
     ("name_end", rf"{_WEEKDAY}{_NAME}\s+(?P<d>\d{{1,2}})\s+{_TIME}{_ZONE}\s+(?P<y>\d{{4}})"),
-    ("number", rf"{_WEEKDAY}(?P<n1>\d{{1,2}})(?P<sep>[./\-])(?P<n2>\d{{1,2}})(?P=sep)(?P<y>\d{{4}}|\d{{2}}){_JOIN}{_TIME}{_ZONE}"),
+    ("number", rf"(?:(?P<wd>[^\W\d][^\W\d-]{{0,14}}(?:-[^\W\d]{{2,6}})?)\.?,?\s+)?(?P<n1>\d{{1,2}})(?P<sep>[./\-])(?P<n2>\d{{1,2}})(?P=sep)(?P<y>\d{{4}}|\d{{2}}){_JOIN}{_TIME}{_ZONE}"),
     ("time_first", rf"{_TIME}\s*[,·|]?\s+(?P<n1>\d{{1,2}})(?P<sep>[./\-])(?P<n2>\d{{1,2}})(?P=sep)(?P<y>\d{{4}}|\d{{2}})(?P<z>(?!))?(?P<sign>(?!))?(?P<abbr>(?!))?(?P<named>(?!))?(?P<area>(?!))?"),
 ]
 _COMPILED = [(name, re.compile(pattern)) for name, pattern in _FORMATS]
@@ -72,21 +97,22 @@ def _days(y: int, m: int, d: int) -> int | None:
 
 
 def parse_value(value: str | None, lang: str | None):
-    """(format, day-first seconds, month-first seconds, offset seconds, zone), or None.
+    """(format, day-first seconds, month-first seconds, offset seconds, zone, weekday's word), or None.
 
-    Seconds are of the local clock; the two agree, or one is None, where the order is not open. ``offset``
+    The format of numeric dates tells their shape: separator and width of the year. The last is 1 where a weekday agrees with the
+    day-first parse alone, -1 where with the month-first one alone, else 0. Seconds are of the local clock; the two agree, or one is None, where the order is not open. ``offset``
     is set where the value gives one, ``zone`` where it names one; the epoch counts as offset 0.
     None for what is not a date, is impossible, or has no time of day.
     """
     if not value:
         return None
     text = " ".join(unicodedata.normalize("NFKC", value).split()).casefold().replace("−", "-")
-    if not text or len(text) > 100:
+    if not text:
         return None
     if _EPOCH.fullmatch(text):
         whole = text.split(".")[0]
         s = int(whole) // (1, 1000, 10**6, 10**9)[(len(whole) > 10) + (len(whole) > 13) + (len(whole) > 16)]
-        return "epoch", s, s, 0, None
+        return "epoch", s, s, 0, None, 0
     for name, pattern in _COMPILED:
         m = pattern.fullmatch(text)
         if m is None:
@@ -125,44 +151,53 @@ def parse_value(value: str | None, lang: str | None):
             day = _days(year, month, int(g["d"]))
             if day is None:
                 return None
-            return name, day * 86400 + clock, day * 86400 + clock, offset, zone
+            return name, day * 86400 + clock, day * 86400 + clock, offset, zone, 0
         if "n1" in g:
             a, b = int(g["n1"]), int(g["n2"])
             first, second = _days(year, b, a), _days(year, a, b)
             if first is None and second is None:
                 return None
-            return name, None if first is None else first * 86400 + clock, None if second is None else second * 86400 + clock, offset, zone
+            word = 0
+            if first is not None and second is not None and g.get("wd"):
+                said = _WEEKDAYS.get((lang or "").casefold()[:2], {}).get(g["wd"], _WEEKDAYS["en"].get(g["wd"]))
+                if said is not None:  # 1 January 1970 was a Thursday
+                    word = ((first + 3) % 7 == said) - ((second + 3) % 7 == said)
+            return f"{name}{g['sep']}{len(g['y'])}", None if first is None else first * 86400 + clock, None if second is None else second * 86400 + clock, offset, zone, word
         day = _days(year, int(g["m"]), int(g["d"]))
         if day is None:
             return None
-        return name, day * 86400 + clock, day * 86400 + clock, offset, zone
+        return name, day * 86400 + clock, day * 86400 + clock, offset, zone, 0
     return None
 
 
-def order_posterior(day_only: float, month_only: float, either: float, declared: str | None, strength: float = 1000.0, rounds: int = 50) -> float:
-    """Probability that an open value of a source is written day first.
+def format_posteriors(counts: list[tuple[float, float, float, float, float]], declared: str | None, prior: float = PRIOR, shared: float = SHARED, rounds: int = 200) -> list[float]:
+    """Weight of the day-first format among the two of each shape, by expectation-maximisation over a source's mixture of formats.
 
-    Two-part mixture by expectation-maximisation. A value that fits both orders has the likelihood 1/144 under
-    each; one that fits a single order has it there alone. The declared order is a prior that weighs
-    as ``strength`` times all values of the source; without one the prior is even and worth two values.
+    ``counts``: for each shape the values that are valid day first only, month first only, either way, and either way with a
+    weekday that speaks for the one or the other. ``declared``: ``dmy``, ``mdy`` or neither, then the prior is even and worth two values.
     """
-    n = day_only + month_only + either
-    if declared in ("dmy", "mdy"):
-        a, b = strength * (n + 1), 1.0
-        prior = (a, b) if declared == "dmy" else (b, a)
-    else:
-        prior = (1.0, 1.0)
-    theta = prior[0] / (prior[0] + prior[1])
+    a, b = (prior, 0.5) if declared == "dmy" else (0.5, prior) if declared == "mdy" else (1.0, 1.0)
+    source = a / (a + b)
+    weights = [source] * len(counts)
     for _ in range(rounds):
-        day = day_only + either * theta  # the likelihoods of an open value are equal, the mixture decides
-        new = (day + prior[0]) / (n + prior[0] + prior[1])
-        if abs(new - theta) < 1e-12:
+        # E step: what falls to the day-first format of each shape
+        day = []
+        for (only, _, open_, said, gainsaid), w in zip(counts, weights):
+            for_it = w / (w + (1 - w) * WRONG_DAY)
+            against = w * WRONG_DAY / (w * WRONG_DAY + (1 - w))
+            day.append(only + open_ * w + said * for_it + gainsaid * against)
+        # M step: the source's order from all shapes and the declaration, each shape's from its own values and the source's
+        total = [sum(c) for c in counts]
+        source = (sum(day) + a) / (sum(total) + a + b)
+        new = [(d + shared * source) / (n + shared) for d, n in zip(day, total)]
+        step = max((abs(x - y) for x, y in zip(new, weights)), default=0.0)
+        weights = new
+        if step < 1e-10:
             break
-        theta = new
-    return theta
+    return weights
 
 
-_PARSED = "format string, day_s bigint, month_s bigint, offset_s int, zone string"
+_PARSED = "format string, day_s bigint, month_s bigint, offset_s int, zone string, word int"
 
 
 def _known_zones(spark: SparkSession) -> dict[str, str]:
@@ -179,31 +214,39 @@ def _parse_column(value: Column, lang: Column, tz: Column, zones: dict[str, str]
         for v, g, own in zip(values, langs, tzs):
             p = parse_value(v, g)
             if p is None:
-                rows.append((None,) * 5)
+                rows.append((None,) * 6)
             elif p[3] is not None:
                 rows.append(p)
             elif p[4] is not None:  # a zone that nobody knows makes the value none at all
                 zone = zones.get(p[4])
-                rows.append((*p[:4], zone) if zone else (None,) * 5)
+                rows.append((*p[:4], zone, p[5]) if zone else (None,) * 6)
             else:
-                rows.append((*p[:4], zones.get(own.casefold()) if own else None))
-        out = pd.DataFrame(rows, columns=["format", "day_s", "month_s", "offset_s", "zone"])
-        return out.astype({"day_s": "Int64", "month_s": "Int64", "offset_s": "Int32"})
+                rows.append((*p[:4], zones.get(own.casefold()) if own else None, p[5]))
+        out = pd.DataFrame(rows, columns=["format", "day_s", "month_s", "offset_s", "zone", "word"])
+        return out.astype({"day_s": "Int64", "month_s": "Int64", "offset_s": "Int32", "word": "Int32"})
 
     return parse(value, lang, tz)
 
 
-def _with_posterior(stats: DataFrame) -> DataFrame:
-    names = [*stats.columns, "p_day"]
-    at = {c: stats.columns.index(c) for c in ("day_only", "month_only", "either", "date_order")}
+_COUNTS = ("day_only", "month_only", "open", "said", "gainsaid")
+
+
+def _posteriors(stats: DataFrame) -> DataFrame:
+    """(source, format, p_day) from (source, format, counts, date_order): the shapes of a source, a dozen at most, are one row of arrays."""
+    rows = stats.groupBy("source").agg(F.first("date_order", ignorenulls=True).alias("declared"), F.collect_list(F.struct("format", *_COUNTS)).alias("shapes"))
+    out = pa.schema([("source", pa.string()), ("format", pa.string()), ("p_day", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {c: batch.column(k).to_pylist() for c, k in at.items()}
-            p = [order_posterior(a, b, c, o) for a, b, c, o in zip(cols["day_only"], cols["month_only"], cols["either"], cols["date_order"])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names)
+            sources, formats, weights = [], [], []
+            for source, declared, shapes in zip(*(c.to_pylist() for c in batch.columns)):
+                shapes.sort(key=lambda x: x["format"])
+                weights += format_posteriors([tuple(x[c] for c in _COUNTS) for x in shapes], declared)
+                formats += [x["format"] for x in shapes]
+                sources += [source] * len(shapes)
+            yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(formats, pa.string()), pa.array(weights, pa.float64())], schema=out)
 
-    return stats.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema.fields) + ", p_day double")
+    return rows.select("source", "declared", "shapes").mapInArrow(run, "source string, format string, p_day double")
 
 
 def normalise_timestamps(values: DataFrame, sites: DataFrame, sure: float = 0.9) -> DataFrame:
@@ -215,23 +258,16 @@ def normalise_timestamps(values: DataFrame, sites: DataFrame, sure: float = 0.9)
     """
     own = sites.where("site is not null").dropDuplicates(["site"]).select("site", "lang", "tz", "date_order")
     given = values.select("page_id", "field", "value", "site")  # other columns may have the names of those added here
-    rows = given.join(broadcast_if_small(own, 100_000), "site", "left").withColumn("p", _parse_column(F.col("value"), F.col("lang"), F.col("tz"), _known_zones(values.sparkSession)))
-    # several steps use the parse: an explicit projection keeps it to one call
-    rows = rows.select("page_id", "field", "value", "site", "date_order", "p.*")
+    rows = hot_join(given, own, ["site"], "page_id", how="left").withColumn("p", _parse_column(F.col("value"), F.col("lang"), F.col("tz"), _known_zones(values.sparkSession)))
+    rows = stage(rows.select("page_id", "field", "value", F.coalesce("site", F.lit("")).alias("source"), "date_order", "p.*"), "dates")
     open_ = F.col("day_s").isNotNull() & F.col("month_s").isNotNull() & (F.col("day_s") != F.col("month_s"))
-    numeric = F.col("format").isin("number", "time_first")
-    stats = (
-        rows.where(numeric)
-        .groupBy(F.coalesce("site", F.lit("")).alias("source"))
-        .agg(
-            F.count_if(F.col("month_s").isNull()).cast("double").alias("day_only"),
-            F.count_if(F.col("day_s").isNull()).cast("double").alias("month_only"),
-            F.count_if(open_).cast("double").alias("either"),
-            F.first("date_order", ignorenulls=True).alias("date_order"),
-        )
-    )
-    post = _with_posterior(stats).select("source", "p_day")
-    rows = rows.withColumn("source", F.coalesce("site", F.lit(""))).join(broadcast_if_small(post, 100_000), "source", "left")
+    numeric = F.col("format").rlike("^(number|time_first)")
+    conditions = (F.col("month_s").isNull(), F.col("day_s").isNull(), open_ & (F.col("word") == 0), open_ & (F.col("word") > 0), open_ & (F.col("word") < 0))
+    stats = rows.where(numeric).groupBy("source", "format").agg(*(F.count_if(c).cast("double").alias(name) for name, c in zip(_COUNTS, conditions)), F.first("date_order", ignorenulls=True).alias("date_order"))
+    rows = hot_join(rows, _posteriors(stats), ["source", "format"], "page_id", how="left")
+    # a value's own weekday counts in its posterior
+    for_it, against = (F.when(F.col("word") >= 0, F.lit(1.0)).otherwise(F.lit(WRONG_DAY)), F.when(F.col("word") <= 0, F.lit(1.0)).otherwise(F.lit(WRONG_DAY)))
+    rows = rows.withColumn("p_day", F.col("p_day") * for_it / (F.col("p_day") * for_it + (1 - F.col("p_day")) * against))
     local = F.when(~open_, F.coalesce("day_s", "month_s")).when(F.col("p_day") >= sure, F.col("day_s")).when(F.col("p_day") <= 1 - sure, F.col("month_s"))
     rows = rows.withColumn("local", local).withColumn("in_zone", F.when(F.col("offset_s").isNull(), F.col("zone")))
     # the session's own zone plays no part: plain seconds go through the zone's rules and back

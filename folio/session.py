@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["broadcast_if_small", "prepare", "ship", "spread", "stage", "stage_dir", "table"]
+__all__ = ["broadcast_if_small", "hot_join", "prepare", "ship", "spread", "stage", "stage_dir", "table"]
 
 _SHIPPED: set[str] = set()
 #: Rows per Arrow batch where the session still has Spark's default of 10,000: pages are long.
@@ -42,12 +43,18 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one is set only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, one is set for a session on a single machine (as in tests); a cluster's executors share
+    no local folder, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = java.get() if java.isDefined() else None
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder there that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="folio-stage-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -78,14 +85,28 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def spread(df: DataFrame, below: int = 64 << 20) -> DataFrame:
-    """A small input (by its size in files) dealt out to all cores before work in Python; a large one is left as its files split it.
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, max_rows: int = 100_000, salts: int = 64, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` (few rows for each of ``keys``), where one key may hold a large part of ``rows``.
+
+    Up to ``max_rows`` facts are broadcast; beyond, both sides are shuffled by the keys and a salt (a hash of the
+    column ``by`` of ``rows``), so that a hot key is dealt out to ``salts`` tasks. Both ways give the same rows.
+    """
+    if facts.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(facts), keys, how)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return salted.join(facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "__salt"], how).drop("__salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that its files split into fewer tasks than there are cores is dealt out to all of them before work in Python.
 
-    One small file is one task, however many cores wait; at any size worth the name the scan's own splits are more than the cores.
+    Only how rows are laid out changes; a scan with enough tasks, and whatever already has a shuffle, is left as it is.
     """
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < below:
-        return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism))
-    return df
+    cores = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    plan = df._jdf.queryExecution().executedPlan()
+    if "AdaptiveSparkPlan" in str(plan.nodeName()) or plan.execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
