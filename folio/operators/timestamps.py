@@ -33,9 +33,9 @@ from folio.session import hot_join, stage
 __all__ = ["format_posteriors", "normalise_timestamps", "parse_value"]
 
 #: What a declared order weighs, in values of the source.
-PRIOR = 8.0
+PRIOR = 30.0
 #: What the order of the source's other shapes weighs in one shape, in values.
-SHARED = 4.0
+SHARED = 30.0
 #: Likelihood of a parse that the value's own weekday contradicts, against 1.
 WRONG_DAY = 0.002
 

@@ -53,21 +53,21 @@ def test_mixture_of_formats():
     assert one(0, 1000, 500, declared="dmy") < 0.1  # a wrong declaration is overruled
     assert 0.1 < one(400, 500, 100, declared="dmy") < 0.9  # a source that writes both ways
     # two shapes of one source: each by its own values, an unseen one by the others
-    dots, slashes, dashes = format_posteriors([(80.0, 0.0, 9.0, 0.0, 0.0), (0.0, 80.0, 9.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0, 0.0)], "dmy")
+    dots, slashes, dashes = format_posteriors([(500.0, 0.0, 9.0, 0.0, 0.0), (0.0, 500.0, 9.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0, 0.0)], "dmy")
     assert dots > 0.9 and slashes < 0.1 and 0.1 < dashes < 0.9
-    assert format_posteriors([(0.0, 0.0, 0.0, 30.0, 0.0)], None)[0] > 0.9 and format_posteriors([(0.0, 0.0, 0.0, 0.0, 30.0)], "dmy")[0] < 0.1  # weekdays decide
+    assert format_posteriors([(0.0, 0.0, 0.0, 30.0, 0.0)], None)[0] > 0.9 and format_posteriors([(0.0, 0.0, 0.0, 0.0, 300.0)], "dmy")[0] < 0.1  # weekdays decide
 
 
 def test_declared_order_is_overruled_and_weekdays_speak(spark):
     """Without the mixture the declared order would decide all of these."""
     sites = spark.createDataFrame([("wrong.example", "en", "UTC", "dmy"), ("right.example", "en", "UTC", "dmy")], "site string, lang string, tz string, date_order string")
-    rows = [(k, "published", f"0{1 + k % 9}/{13 + k % 15}/2024 10:00", "wrong.example") for k in range(60)]
-    rows += [(100, "published", "03/04/2024 10:00", "wrong.example"), (101, "published", "03.04.2024 10:00", "right.example"), (102, "published", "Mon, 04/03/2024 10:00", "right.example"), (103, "published", "Wednesday 04/03/2024 10:00", "right.example")]
+    rows = [(k, "published", f"0{1 + k % 9}/{13 + k % 15}/2024 10:00", "wrong.example") for k in range(240)]
+    rows += [(1000, "published", "03/04/2024 10:00", "wrong.example"), (1001, "published", "03.04.2024 10:00", "right.example"), (1002, "published", "Mon, 04/03/2024 10:00", "right.example"), (1003, "published", "Wednesday 04/03/2024 10:00", "right.example")]
     got = {r.page_id: r for r in normalise_timestamps(spark.createDataFrame(rows, "page_id bigint, field string, value string, site string"), sites).collect()}
     at = lambda m, d: int(datetime(2024, m, d, 10, tzinfo=timezone.utc).timestamp())
-    assert got[100].utc_s == at(3, 4) and got[101].utc_s == at(4, 3)
-    assert got[102].utc_s == at(3, 4)  # 4 March was a Monday
-    assert got[103].utc_s == at(4, 3)  # 3 April was a Wednesday, whatever the site declares
+    assert got[1000].utc_s == at(3, 4) and got[1001].utc_s == at(4, 3)
+    assert got[1002].utc_s == at(3, 4)  # 4 March was a Monday
+    assert got[1003].utc_s == at(4, 3)  # 3 April was a Wednesday, whatever the site declares
     long = spark.createDataFrame([(1, "published", "2024-01-02 10:00" + " " * 200 + "Z (" + "x" * 200 + ")", "right.example")], "page_id bigint, field string, value string, site string")
     assert normalise_timestamps(long, sites).first().utc_s == int(datetime(2024, 1, 2, 10, tzinfo=timezone.utc).timestamp())
 
