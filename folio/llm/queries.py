@@ -18,19 +18,20 @@ def _page_sites(spark: SparkSession, d: str) -> DataFrame:
     return page_sites(table(spark, d, "pages"), table(spark, d, "render_report"), table(spark, d, "sites"))
 
 
-def _p1(spark: SparkSession, d: str) -> DataFrame:
+def _p1(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     prepare(spark)
-    return repeated_lines.repeated_lines(repeated_lines.line_table(table(spark, d, "pages")), _page_sites(spark, d))
+    own = repeated_lines.with_sources(repeated_lines.line_table(table(spark, d, "pages")), _page_sites(spark, d))
+    return own, repeated_lines.excessive_chunks(own)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines that return on too many pages of their site."""
-    return _p1(spark, d).select("page_id", F.col("head").alias("line_head")).distinct()
+    return repeated_lines.repeated_lines(*_p1(spark, d)).select("page_id", F.col("head").alias("line_head")).distinct()
 
 
 def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    """Each page's visible text without the lines of p1_found."""
-    return repeated_lines.remove_repeated(table(spark, d, "pages"), _p1(spark, d))
+    """Each page's visible text without the chunks that are repeated on too many pages of its site."""
+    return repeated_lines.cut_repeated(table(spark, d, "pages"), *_p1(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Repeated lines, main bodies, residue: fixtures, brute force, and awkward tables."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -101,19 +102,47 @@ def test_repeated_lines_agree_with_brute_force(spark):
         site_of[k] = site
     table = pages(spark, rows)
     sites = spark.createDataFrame(list(site_of.items()), "page_id bigint, site string")
-    got = repeated_lines.repeated_lines(repeated_lines.line_table(table), sites)
-    assert {(r.page_id, r["head"]) for r in got.collect()} == brute_repeated([(r[0], r[2]) for r in rows], site_of)
-    cleaned = {r.page_id: r for r in repeated_lines.remove_repeated(table.where("page_id < 60"), got).collect()}
-    assert cleaned[1].removed + len(cleaned[1].text.split("\n")) == len(visible_lines(rows[1][2]))
-    empty = spark.createDataFrame([], PAGE_SQL)
-    assert repeated_lines.repeated_lines(repeated_lines.line_table(empty), sites).count() == 0
-    assert repeated_lines.repeated_lines(repeated_lines.line_table(table), sites.where("false")).count() == 0
+    own = repeated_lines.with_sources(repeated_lines.line_table(table), sites)
+    often = repeated_lines.excessive_chunks(own)
+    want = brute_repeated([(r[0], r[2]) for r in rows], site_of)
+    for bound in (500_000, 0):  # chunks broadcast, chunks joined one by one
+        assert {(r.page_id, r["head"]) for r in repeated_lines.repeated_lines(own, often, bound).collect()} == want
+    cleaned = {r.page_id: r for r in repeated_lines.cut_repeated(table.where("page_id < 60"), own, often).collect()}
+    assert cleaned[1].text == "\n".join(x for x in visible_lines(rows[1][2]) if (1, x[:60]) not in want) and len(cleaned) == 60
+    empty = repeated_lines.with_sources(repeated_lines.line_table(spark.createDataFrame([], PAGE_SQL)), sites)
+    assert repeated_lines.repeated_lines(empty, repeated_lines.excessive_chunks(empty)).count() == 0
+    none = repeated_lines.with_sources(repeated_lines.line_table(table), sites.where("false"))
+    assert repeated_lines.repeated_lines(none, repeated_lines.excessive_chunks(none)).count() == 0
+
+
+NOTICE = "No part of this page may be reproduced without the written permission of its owner, ever, in whole or in part, whatever the purpose of the copy may be. Requests are answered in writing within thirty days by the office that keeps the register of works, and only to those who state their name and the edition they have in mind."
+
+
+def test_chunks_are_cut_where_no_line_repeats(spark):
+    """A notice glued to paragraphs, and one broken into other lines on each page: an exact count of lines finds neither, the chunks decide."""
+    words = NOTICE.split()
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(3, 9))) for _ in range(30)) for _ in range(12)]
+    own_text = lambda k: texts[k]
+    rows = [(k, "u", f"<p>{texts[k]}. {NOTICE}</p>", None) for k in range(6)]
+    rows += [(k, "u", f"<p>{texts[k]}</p><p>{' '.join(words[: 3 * k - 8])}<br>{' '.join(words[3 * k - 8 :])}</p>", None) for k in range(6, 12)]
+    table = pages(spark, rows)
+    sites = spark.createDataFrame([(k, "glued" if k < 6 else "broken") for k in range(12)], "page_id bigint, site string")
+    own = repeated_lines.with_sources(repeated_lines.line_table(table), sites)
+    often = repeated_lines.excessive_chunks(own)
+    whole = repeated_lines.letters_of(NOTICE)
+    assert brute_repeated([(r[0], r[2]) for r in rows], {k: "glued" if k < 6 else "broken" for k in range(12)}) == set() and repeated_lines.repeated_lines(own, often).count() == 0
+    for r in repeated_lines.cut_repeated(table, own, often).collect():
+        left = repeated_lines.letters_of(r.text)
+        assert whole not in left and r.removed > 0.5 * len(whole), r
+        assert own_text(r.page_id) in r.text  # the page's own text stays whole
 
 
 def test_plain_text_sources(spark):
     docs = spark.createDataFrame([(k, f"Legal notice of this source\n{LONG.format(k)}") for k in range(6)], "page_id bigint, html string")
     sites = spark.createDataFrame([(k, "s") for k in range(6)], "page_id bigint, site string")
-    got = repeated_lines.repeated_lines(repeated_lines.line_table(docs, markup=False), sites)
+    own = repeated_lines.with_sources(repeated_lines.line_table(docs, markup=False), sites)
+    got = repeated_lines.repeated_lines(own, repeated_lines.excessive_chunks(own))
     assert {r["head"] for r in got.collect()} >= {"Legal notice of this source"}
 
 
