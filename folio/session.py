@@ -85,14 +85,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, max_rows: int = 100_000, salts: int = 64, how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, max_rows: int = 100_000, salts: int | None = None, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``facts`` (few rows for each of ``keys``), where one key may hold a large part of ``rows``.
 
     Up to ``max_rows`` facts are broadcast; beyond, both sides are shuffled by the keys and a salt (a hash of the
-    column ``by`` of ``rows``), so that a hot key is dealt out to ``salts`` tasks. Both ways give the same rows.
+    column ``by`` of ``rows``), so that a hot key is dealt out to ``salts`` tasks: 16, or one for each million rows.
+    Both ways give the same rows.
     """
     if facts.limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(facts), keys, how)
+    salts = salts or max(16, rows.count() // 1_000_000)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     return salted.join(facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "__salt"], how).drop("__salt")
 
