@@ -6,15 +6,17 @@ similarity ``t``: no link is lost, whatever order or tile size is used.
 1. Exact copies (equal sets) are folded into one representative first.
 2. Every record sends only the rarest part of its set (the *prefix*: what it has
    beyond the overlap that a partner needs) to the *tile* of each such shingle.
-   Rarity comes from counts over all records in a table of fixed size; any order
-   keeps the join exact, a good one keeps tiles small. A shingle whose count says
-   that its tile could be large is spread over tiles by size band and block.
+   Rarity comes from counts over all records in a table of buckets whose number follows the
+   data; any order keeps the join exact, a good one keeps tiles small. A shingle whose count says
+   that its tile could hold more than ``TILE_ROWS`` is spread over tiles by size band and block.
 3. In a tile, records are sorted by size; sizes and positions bound the overlap.
-4. Candidate pairs meet in tiles of record blocks with the records' *hashed bitmap
+4. Candidate pairs meet in tiles of record blocks, ``BLOCK_ROWS`` records each, with the records' *hashed bitmap
    signatures*: bits set in one and not in the other bound the overlap from above;
-   only pairs that pass have their sorted arrays intersected.
+   only pairs that pass have their sorted arrays intersected. The number of blocks follows the records, so a tile never
+   grows; a signature goes only to the tiles in which its record has pairs.
 
-Only hashes are shuffled: no text, no link or component ever reaches the driver.
+Only hashes are shuffled: no text, no link or component ever reaches the driver, which sees the rarity table alone (4 bytes a bucket,
+64 MB at most). Representatives of copies return by joins of checked size or salted ones.
 """
 
 from __future__ import annotations
@@ -29,17 +31,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.session import broadcast_if_small, spread, stage
+from folio.session import broadcast_if_small, hot_join, spread, stage
 
-__all__ = ["candidate_pairs", "expand_pairs", "shingle_hashes", "shingle_table", "similar_pairs", "verified_pairs"]
+__all__ = ["candidate_pairs", "classes", "expand_pairs", "shingle_columns", "shingle_hashes", "shingle_table", "similar_pairs", "verified_pairs"]
 
 _WORD = re.compile(r"[^\W_]+")
-#: Entries of the rarity table, a fixed size.
-BUCKETS = 1 << 18
+#: Entries of the rarity table: a power of two, about one for 16 shingles of all records, within these bounds.
+BUCKETS_LEAST, BUCKETS_MOST = 1 << 18, 1 << 24
 #: Rows that one tile may hold before it is split.
 TILE_ROWS = 20_000
 #: Records of a block in the signature tiles.
 BLOCK_ROWS = 32_768
+#: Up to so many blocks, signatures go to all tiles of their block; beyond, only to those in which their record has pairs.
+FEW_BLOCKS = 4
 
 
 def shingle_hashes(lines: list[str], words: int) -> np.ndarray:
@@ -70,6 +74,16 @@ _SETS = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("whole", pa.int64()),
 _SETS_SQL = "id bigint, n int, whole bigint, tokens array<bigint>"
 
 
+def _shingles(lines: list[str], words: int) -> tuple[int, int, np.ndarray] | None:
+    tokens = shingle_hashes(lines, words)
+    return (len(tokens), xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63), tokens) if len(tokens) else None
+
+
+def shingle_columns(words: int):
+    """(columns in SQL, their types, function of a record's lines): n, whole and tokens for a pass that also does other work; None without any shingle."""
+    return "n int, whole bigint, tokens array<bigint>", [pa.int32(), pa.int64(), pa.list_(pa.int64())], lambda lines: _shingles(lines, words)
+
+
 def shingle_table(records: DataFrame, lines_of, words: int) -> DataFrame:
     """(id, n, whole, tokens): one row for each record with any shingle; ``whole`` is the set's hash.
 
@@ -79,20 +93,11 @@ def shingle_table(records: DataFrame, lines_of, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ns, wholes, parts = [], [], [], []
+            rows = []
             for i, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if i is None:
-                    continue
-                tokens = shingle_hashes(lines_of(*rest), words)
-                if len(tokens):
-                    ids.append(i)
-                    ns.append(len(tokens))
-                    wholes.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63))
-                    parts.append(tokens)
-            offsets = np.concatenate(([0], np.cumsum(ns))).astype(np.int32)
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(wholes, pa.int64()), lists], schema=_SETS)
+                if i is not None and (own := _shingles(lines_of(*rest), words)):
+                    rows.append((i, *own))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SETS)], schema=_SETS)
 
     return spread(records).mapInArrow(run, _SETS_SQL)
 
@@ -102,33 +107,18 @@ def _need(n_small, n_large, t: float):
     return np.ceil(t / (1 + t) * (n_small + n_large) - 1e-9)
 
 
-def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return ((tokens.view(np.uint64) >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return ((tokens.view(np.uint64) >> np.uint64(40)) & np.uint64(buckets - 1)).astype(np.int64)
 
 
 def rarity(sets: DataFrame) -> np.ndarray:
-    """Number of records by bucket of shingles, over all records: a table of BUCKETS counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            tokens = np.asarray(batch.column(0).flatten())
-            if len(tokens):
-                total += np.bincount(_bucket(tokens), minlength=BUCKETS)
-        # the table in 64 pieces, so that its sum is spread and stays small
-        for k, piece in enumerate(np.split(total.astype("<i8"), 64)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece.tobytes()], pa.binary())], ["k", "piece"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(BUCKETS // 64, dtype=np.int64)
-        for piece in table.column("piece"):
-            total += np.frombuffer(piece.as_py(), dtype="<i8")
-        return pa.table({"k": table.column("k").slice(0, 1), "piece": pa.array([total.tobytes()], pa.binary())})
-
-    rows = sets.select("tokens").mapInArrow(run, "k int, piece binary").groupBy("k").applyInArrow(add, "k int, piece binary").collect()
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for row in rows:
-        out[row.k * (BUCKETS // 64) : (row.k + 1) * (BUCKETS // 64)] = np.frombuffer(row.piece, dtype="<i8")
+    """Number of records by bucket of shingles, over all records; counted in the JVM with partial aggregates."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = min(BUCKETS_MOST, max(BUCKETS_LEAST, 1 << math.ceil(math.log2(max(1, total / 16)))))
+    bucket = F.shiftrightunsigned(F.col("token"), 40).bitwiseAND(F.lit(buckets - 1)).cast("int")
+    counted = sets.select(F.explode("tokens").alias("token")).groupBy(bucket.alias("bucket")).agg(F.count("*").cast("int").alias("records")).toArrow()
+    out = np.zeros(buckets, dtype=np.int32)
+    out[counted["bucket"].to_numpy()] = counted["records"].to_numpy()
     return out
 
 
@@ -142,9 +132,8 @@ def candidate_pairs(sets: DataFrame, t: float, counts: np.ndarray | None = None,
     ``sets``: (id, n, tokens) of different sets.
     """
     counts = rarity(sets) if counts is None else counts
-    # a tile's rows never exceed its bucket's count: buckets of usual load are never split
-    room = max(tile_rows, 4 * int(counts.sum()) // BUCKETS)
-    shared = sets.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers, whatever the data
+    room = tile_rows  # a tile's rows never exceed its bucket's count
+    shared = sets.sparkSession.sparkContext.broadcast(counts)  # BUCKETS_MOST numbers at most
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = shared.value
@@ -157,7 +146,7 @@ def candidate_pairs(sets: DataFrame, t: float, counts: np.ndarray | None = None,
                 tokens = flat[offsets[k] : offsets[k + 1]]
                 n = int(ns[k])
                 size = n - math.ceil(t * n - 1e-9) + 1
-                own = load[_bucket(tokens)]
+                own = load[_bucket(tokens, len(load))]
                 order = np.lexsort((tokens, own))[:size]
                 chosen, own = tokens[order], own[order]
                 pos = np.arange(len(chosen), dtype=np.int32)
@@ -269,13 +258,14 @@ def _outside(x: bytes, y: bytes) -> int:
     return int(_bits[a & ~b].sum())
 
 
-def verified_pairs(candidates: DataFrame, sets: DataFrame, t: float, blocks: int | None = None) -> DataFrame:
+def verified_pairs(candidates: DataFrame, sets: DataFrame, t: float, blocks: int | None = None, few: int = FEW_BLOCKS) -> DataFrame:
     """(a, b, shared, n_a, n_b) of the candidate pairs with similarity of at least ``t``.
 
-    Pairs and signatures meet in tiles of record blocks; what the bitmaps leave is intersected exactly.
+    Pairs and signatures meet in tiles of record blocks; what the bitmaps leave is intersected exactly. ``blocks``: as
+    many as the records need. ``few``: see ``FEW_BLOCKS``; both ways give the same rows.
     """
     if blocks is None:
-        blocks = max(1, min(64, math.ceil(sets.count() / BLOCK_ROWS)))
+        blocks = max(1, math.ceil(sets.count() / BLOCK_ROWS))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,8 +307,13 @@ def verified_pairs(candidates: DataFrame, sets: DataFrame, t: float, blocks: int
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     pairs = candidates.select("a", "b", F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"))
     signed = sets.select("id", "n", "tokens").mapInArrow(sign, "id bigint, n int, sig binary").withColumn("k", block("id"))
-    tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(F.col("k"), o).alias("i"), F.greatest(F.col("k"), o).alias("j")))
-    spread = signed.select("id", "n", "sig", F.explode(tiles).alias("t")).select("id", "n", "sig", F.col("t.i").alias("i"), F.col("t.j").alias("j"))
+    if blocks <= few:
+        tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(F.col("k"), o).alias("i"), F.greatest(F.col("k"), o).alias("j")))
+        spread = signed.select("id", "n", "sig", F.explode(tiles).alias("t")).select("id", "n", "sig", F.col("t.i").alias("i"), F.col("t.j").alias("j"))
+    else:
+        pairs = stage(pairs.distinct(), "pairs")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id"), "i", "j").distinct()
+        spread = asked.join(signed.select("id", "n", "sig"), "id")
     passed = stage(pairs.groupBy("i", "j").cogroup(spread.groupBy("i", "j")).applyInArrow(screen, "a bigint, b bigint"), "passed")
     # only the arrays of records in some passed pair are moved
     ids = passed.select(F.col("a").alias("id")).union(passed.select(F.col("b").alias("id"))).distinct()
@@ -337,15 +332,21 @@ def similar_pairs(table: DataFrame, t: float, folded: bool = False) -> tuple[Dat
     """
     table = table if folded else stage(table, "sets")
     members = table.select("id", "whole", "n").distinct()
-    reps = members.groupBy("whole", "n").agg(F.min("id").alias("rep"))
-    copies = members.join(reps, ["whole", "n"]).where("id != rep").select("id", "rep")
-    copies = stage(copies, "copies")
+    # only sets that several records have; one that a third of all records share is joined in salted parts
+    reps = members.groupBy("whole", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    copies = stage(hot_join(members, reps, ["whole", "n"], "id").where("id != rep").select("id", "rep"), "copies")
     sets = table.join(broadcast_if_small(copies.select("id"), 200_000), "id", "left_anti") if copies.limit(1).count() else table
     pairs = verified_pairs(candidate_pairs(sets, t), sets, t)
     member_of = copies.unionByName(sets.select("id", F.col("id").alias("rep")))
     return pairs, member_of
 
 
+def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, rep, links): every record with its class of equal sets and the number of classes that are similar to it; from ``similar_pairs``."""
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return hot_join(members, links, ["rep"], "id", how="left").select("id", "rep", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def expand_pairs(pairs: DataFrame, members: DataFrame, whole_groups: int = 64) -> DataFrame:
     """(page_a, page_b), a < b: links between representatives written out for their copies.
 
@@ -355,15 +356,15 @@ def expand_pairs(pairs: DataFrame, members: DataFrame, whole_groups: int = 64) -
     """
     size = members.groupBy("rep").agg(F.count("*").alias("copies"))
     many = size.where("copies > 1")
-    in_groups = members.join(many, "rep")
+    in_groups = hot_join(members, many, ["rep"], "id")
     small = in_groups.where(F.col("copies") <= whole_groups)
     inner = small.alias("x").join(small.alias("y"), F.expr("x.rep = y.rep and x.id < y.id")).select(F.col("x.id").alias("p"), F.col("y.id").alias("q"))
     star = in_groups.where((F.col("copies") > whole_groups) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("p"), F.col("id").alias("q"))
     # copies that stand for a representative in links with others
     stand = in_groups.where((F.col("copies") <= whole_groups) | (F.col("id") == F.col("rep"))).select("rep", "id")
-    few = broadcast_if_small(stand, 200_000)
+    stand = stage(stand, "stand")
     out = pairs.select("a", "b")
-    for side in ("a", "b"):
-        out = out.join(few.select(F.col("rep").alias(side), F.col("id").alias(f"{side}_id")), side, "left").withColumn(side, F.coalesce(f"{side}_id", side)).drop(f"{side}_id")
+    for side, other in (("a", "b"), ("b", "a")):
+        out = hot_join(out, stand.select(F.col("rep").alias(side), F.col("id").alias(f"{side}_id")), [side], other, 200_000, how="left").withColumn(side, F.coalesce(f"{side}_id", side)).drop(f"{side}_id")
     both = out.select(F.col("a").alias("p"), F.col("b").alias("q")).unionByName(inner).unionByName(star)
     return both.select(F.least("p", "q").alias("page_a"), F.greatest("p", "q").alias("page_b"))

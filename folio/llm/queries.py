@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import contamination, garbled, mainbody, near_duplicates, packing, repeated_lines, residue, subjects
+from folio.llm.oracles import oracle_sql
 from folio.operators.sites import page_sites
-from folio.session import prepare, stage, table
+from folio.session import broadcast_if_small, prepare, stage, table
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -34,12 +36,21 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.cut_repeated(table(spark, d, "pages"), *_p1(spark, d))
 
 
+def p1_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the lines of documents and their sources."""
+    prepare(spark)
+    documents = table(spark, d, "documents").select(F.col("doc_id").cast("bigint").alias("page_id"), "text", F.col("source").alias("site"))
+    own = repeated_lines.with_sources(repeated_lines.line_table(documents, markup=False, text_col="text"), documents.select("page_id", "site"))
+    return repeated_lines.repeated_lines(own, repeated_lines.excessive_chunks(own)).select(F.col("page_id").alias("doc_id"), F.col("head").alias("line_head")).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Visible lines of each page's main body; pages of p6_found have none."""
     prepare(spark)
-    pages = table(spark, d, "pages")
-    out = mainbody.main_line_heads(pages)
-    return out.join(residue.find_residue(pages), "page_id", "left_anti").distinct()
+    heads = lambda lines: (list(dict.fromkeys(x[:60] for x in lines)),) if lines else None
+    evidence = stage(residue.evidence_table(table(spark, d, "pages"), ("heads array<string>", [pa.list_(pa.string())], heads)), "bodies")
+    lines = evidence.where("heads is not null").select("page_id", F.explode("heads").alias("line_head"))
+    return lines.join(broadcast_if_small(residue.residue_pages(evidence), 1_000_000), "page_id", "left_anti").distinct()
 
 
 def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
@@ -62,9 +73,10 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def _p5(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     prepare(spark)
-    pages = table(spark, d, "pages")
-    sets = near_duplicates.shingle_table(pages.select(F.col("page_id").cast("bigint"), "html", "source_html"), mainbody.main_lines, 3)
-    whole = stage(sets.join(residue.find_residue(pages).withColumnRenamed("page_id", "id"), "id", "left_anti"), "sets")
+    sql, types, values = near_duplicates.shingle_columns(3)
+    evidence = stage(residue.evidence_table(table(spark, d, "pages"), (sql, types, values)), "sets")
+    sets = evidence.where("tokens is not null").select(F.col("page_id").alias("id"), "n", "whole", "tokens")
+    whole = sets.join(broadcast_if_small(residue.residue_pages(evidence).withColumnRenamed("page_id", "id"), 1_000_000), "id", "left_anti")
     return near_duplicates.similar_pairs(whole, 0.6, folded=True)
 
 
@@ -74,6 +86,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.expand_pairs(pairs, members).distinct()
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's class of equal main bodies (the least page of it) and the number of other classes that are similar to it."""
+    pairs, members = _p5(spark, d)
+    return near_duplicates.classes(pairs, members).select(F.col("id").alias("page_id"), "rep", "links").distinct()
+
+
+def p5_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's class of equal texts and its links at a similarity of 0.8 of runs of five words (whole texts, line by line)."""
+    prepare(spark)
+    documents = table(spark, d, "documents").select(F.col("doc_id").cast("bigint"), "text")
+    sets = near_duplicates.shingle_table(documents, lambda text: (text or "").split("\n"), 5)
+    pairs, members = near_duplicates.similar_pairs(sets, 0.8)
+    return near_duplicates.classes(pairs, members).select(F.col("id").alias("doc_id"), "rep", "links").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages that show residue, filler, errors or calls for scripts instead of an article."""
     prepare(spark)
@@ -137,8 +164,4 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_bodies, p4_found, p4_restored, p5_found, p6_found, p6_messages, p7_packed, p7_fill, p8_found, p8_templates, p9_found, p9_composition)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: f for f in (p1_found, p1_cleaned, p1_documents, p2_found, p2_bodies, p4_found, p4_restored, p5_found, p5_classes, p5_documents, p6_found, p6_messages, p7_packed, p7_fill, p8_found, p8_templates, p9_found, p9_composition)}

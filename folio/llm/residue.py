@@ -17,7 +17,7 @@ recurs on many sources. The verdicts return to the pages by a salted hash join.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from folio.html.layout import Page, render
 from folio.llm.mainbody import article_lines
 from folio.operators.sites import host_of
-from folio.session import spread, stage
+from folio.session import hot_join, spread, stage
 
-__all__ = ["classify_message", "find_residue", "mask_message", "page_evidence", "residue_messages"]
+__all__ = ["classify_message", "find_residue", "mask_message", "page_evidence", "residue_messages", "residue_pages"]
 
 #: Unfilled slots of common template languages, fixed patterns.
 SLOT = re.compile(
@@ -159,9 +159,12 @@ def classify_message(masked: str) -> str | None:
 PROSE = 160
 
 
-def page_evidence(page: Page) -> tuple[bool, list[str], bool]:
-    """(direct verdict, masked messages, bare): ``bare`` when the article's place holds hardly more than messages can."""
-    keep = article_lines(page)
+def page_evidence(page: Page, keep: list[int] | None = None) -> tuple[bool, list[str], bool]:
+    """(direct verdict, masked messages, bare): ``bare`` when the article's place holds hardly more than messages can.
+
+    ``keep``: the numbers of the article's lines, if they are known.
+    """
+    keep = article_lines(page) if keep is None else keep
     if not keep:  # nothing but chrome: no block stands where an article should be
         return False, [], False
     # code is quoted, not shown in place of text: blocks of it are left out, inline pieces removed
@@ -201,28 +204,42 @@ def _without_code(page: Page, n: int) -> str:
     return text
 
 
-_SCHEMA = pa.schema([("page_id", pa.int64()), ("source", pa.string()), ("direct", pa.bool_()), ("messages", pa.list_(pa.struct([("hash", pa.int64()), ("text", pa.string())])))])
+_SCHEMA = [("page_id", pa.int64()), ("source", pa.string()), ("direct", pa.bool_()), ("messages", pa.list_(pa.struct([("hash", pa.int64()), ("text", pa.string())])))]
+_SQL = "page_id bigint, source string, direct boolean, messages array<struct<hash: bigint, text: string>>"
 
 
-def evidence_table(pages: DataFrame) -> DataFrame:
-    """(page_id, source, direct, messages) of the pages with any evidence."""
+def evidence_table(pages: DataFrame, beside: tuple[str, list[pa.DataType], Callable] | None = None) -> DataFrame:
+    """(page_id, source, direct, messages) of the pages with any evidence.
+
+    ``beside``: (columns in SQL, their types, function): further columns from the same layout of each page, so that a page is laid out
+    once for all that is asked of it. The function takes the article's lines (of ``source_html`` where html shows none) and returns the
+    values, or None where there are none; pages with values give a row too.
+    """
+    sql, types, values = beside or ("", [], None)
+    names = [x.split()[0] for x in sql.split(",") if x.strip()]
+    schema = pa.schema([*_SCHEMA, *zip(names, types)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, source, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if not html or i is None:
+            for i, source, *markup in zip(*(c.to_pylist() for c in batch.columns)):
+                if i is None:
                     continue
-                page = render(html)
-                if not page.lines:
-                    continue
-                direct, messages, _ = page_evidence(page)
-                if direct or messages:
-                    rows.append((i, source, direct, [{"hash": _hash(m), "text": m} for m in messages]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SCHEMA)], schema=_SCHEMA)
-
-    picked = pages.select(F.col("page_id").cast("bigint"), host_of(F.col("url")).alias("source"), "html")
-    return spread(picked).mapInArrow(run, "page_id bigint, source string, direct boolean, messages array<struct<hash: bigint, text: string>>")
+                page = render(markup[0])
+                keep = article_lines(page)
+                direct, messages, _ = page_evidence(page, keep) if page.lines else (False, [], False)
+                own = None
+                if values:
+                    if not page.lines and markup[1]:
+                        page = render(markup[1])
+                        keep = article_lines(page)
+                    own = values([page.lines[n][0] for n in keep])
+                if direct or messages or own is not None:
+                    rows.append((i, source, direct, [{"hash": _hash(m), "text": m} for m in messages], *(own or [None] * len(names))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    picked = pages.select(F.col("page_id").cast("bigint"), host_of(F.col("url")).alias("source"), "html", *(["source_html"] if values else []))
+    return spread(picked).mapInArrow(run, _SQL + (", " + sql if sql else ""))
 
 
 def _hash(s: str) -> int:
@@ -246,17 +263,11 @@ def residue_messages(evidence: DataFrame, min_sources: int = 5) -> DataFrame:
     return out.withColumn("recurring", (F.col("sources") >= min_sources) & (F.length("text") <= 120))
 
 
-def find_residue(pages: DataFrame, min_sources: int = 5, salts: int = 16) -> DataFrame:
-    """(page_id) of the pages that show residue, filler, an error or a call for scripts instead of an article.
-
-    Pages without html or without a visible line are never cases. Rows that share a page_id count once.
-    """
-    evidence = stage(evidence_table(pages), "evidence")
+def residue_pages(evidence: DataFrame, min_sources: int = 5) -> DataFrame:
+    """(page_id) of the pages that show residue, from their staged evidence. A message on a large part of all pages is joined in salted parts."""
     messages = residue_messages(evidence, min_sources).where("kind is not null or recurring").select("hash", "kind", "recurring")
     lines = evidence.where("not direct").select("page_id", F.explode("messages").alias("m"), F.size("messages").alias("n_lines")).select("page_id", "n_lines", "m.hash", F.length("m.text").alias("n"))
-    lines = lines.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-    salted = messages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = lines.join(salted, ["hash", "salt"], "left")
+    joined = hot_join(lines, messages, ["hash"], "page_id", how="left")
     # known text, all lines recurring, and what is left beside them
     judged = joined.groupBy("page_id").agg(
         F.max(F.col("kind").isNotNull()).alias("known"),
@@ -269,3 +280,11 @@ def find_residue(pages: DataFrame, min_sources: int = 5, salts: int = 16) -> Dat
     alone = F.col("all_recur") & (F.col("n_lines") <= 2) & (F.col("size") <= PROSE)
     short = judged.where((F.col("known") & (F.col("rest") <= PROSE)) | alone).select("page_id")
     return evidence.where("direct").select("page_id").union(short).distinct()
+
+
+def find_residue(pages: DataFrame, min_sources: int = 5) -> DataFrame:
+    """(page_id) of the pages that show residue, filler, an error or a call for scripts instead of an article.
+
+    Pages without html or without a visible line are never cases. Rows that share a page_id count once.
+    """
+    return residue_pages(stage(evidence_table(pages), "evidence"), min_sources)
