@@ -2,10 +2,11 @@
 
 1. Every text is measured in tokens; one longer than the capacity is cut into full pieces and a rest.
 2. The *global histogram* of piece lengths (at most ``capacity`` numbers) is aggregated over all texts.
-3. *Dynamic programming* over the histogram chooses at most ``max_buckets`` length buckets with the
-   least padding (each piece counts as long as its bucket's upper end).
-4. *Token-budget batches*: a container takes pieces of one bucket as long as its budget lasts, and the room that
-   is left over goes to batches of the longest buckets that still fit. The plan is made of a few
+3. *Dynamic programming* over the histogram chooses ``max_buckets`` length buckets with the
+   least padding (each piece counts as long as its bucket's upper end); the number is well below that of the lengths, so it always decides.
+4. *Token-budget batches*: a container takes a batch of pieces of one bucket as long as its budget lasts, and the room that
+   is left over goes to batches of the longest buckets that still fit: batches never cross buckets, containers hold several.
+   (One bucket for each container would leave up to half of it unused where a piece is just over half the capacity.) The plan is made of a few
    recipes (so many pieces of these buckets, so many times), at most twice as many as buckets: it is computed
    from the histogram alone, whatever the number of texts.
 5. A piece's container follows from its rank in its bucket: ranks are counted in salted parts of
@@ -30,7 +31,7 @@ __all__ = ["Plan", "choose_buckets", "count_tokens", "pack", "plan_containers"]
 #: Pattern that splits text before the merges of the rank files, as their publisher states it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 384
 #: Pieces that one salted part of a bucket should hold.
 PART_ROWS = 1_000_000
 
@@ -60,10 +61,11 @@ def _encode(encode, text: str) -> list[int]:
 
 
 def choose_buckets(histogram: np.ndarray, max_buckets: int = MAX_BUCKETS) -> np.ndarray:
-    """Upper ends of at most ``max_buckets`` length buckets with the least total padding.
+    """Upper ends of ``max_buckets`` length buckets (or one for each length, if those are no more) with the least total padding.
 
-    ``histogram[n]`` is the number of pieces of length n. Exact: the padding is a concave-cost partition, so a price per bucket found by
-    bisection gives the best partition of each size, and the price is paid back in the comparison.
+    ``histogram[n]`` is the number of pieces of length n. Exact: the padding is a concave Monge cost, so for a price per bucket the best
+    partition follows in linear time; bisection finds the price at which the number of buckets passes ``max_buckets``, and the two best
+    partitions there, one with fewer and one with more, are joined where an interval of the one holds one of the other.
     """
     lengths = np.flatnonzero(histogram)
     if len(lengths) <= max_buckets:
@@ -103,17 +105,25 @@ def choose_buckets(histogram: np.ndarray, max_buckets: int = MAX_BUCKETS) -> np.
         return ends[::-1]
 
     low, high = 0.0, float(lengths[-1]) * float(count.sum()) + 1.0
-    best = [n]
-    for _ in range(60):
+    fewer, more = [n], list(range(1, n + 1))
+    for _ in range(100):
         mid = (low + high) / 2
         ends = cut(mid)
         if len(ends) > max_buckets:
-            low = mid
+            low, more = mid, ends
         else:
-            best, high = ends, mid
-            if len(ends) == max_buckets:
+            fewer, high = ends, mid
+        if len(fewer) == max_buckets:
+            break
+    if len(fewer) < max_buckets:
+        p, q = [0, *fewer], [0, *more]
+        ahead = len(more) - max_buckets
+        for x in range(len(fewer)):
+            y = x + ahead
+            if p[x] <= q[y] and q[y + 1] <= p[x + 1]:
+                fewer = [*p[1 : x + 1], *q[y + 1 :]]
                 break
-    return lengths[np.array(best) - 1]
+    return lengths[np.array(fewer) - 1]
 
 
 @dataclass

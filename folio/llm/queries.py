@@ -139,8 +139,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_templates(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with literal or re-parameterised windows of a test item."""
-    return _p8(spark, d).where("literal > 0 or changed > 0").select("doc_id", "item_id", "literal", "changed")
+    """Documents with literal or re-parameterised windows of a test item, or the whole of a short one."""
+    return _p8(spark, d).where("literal > 0 or changed > 0 or short > 0").select("doc_id", "item_id", "literal", "changed", "short")
 
 
 def _p9(spark: SparkSession, d: str):

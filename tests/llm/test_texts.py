@@ -156,7 +156,7 @@ def test_buckets_are_optimal(counts, most):
     if not len(lengths):
         assert len(uppers) == 0
         return
-    assert len(uppers) <= most and uppers[-1] == lengths[-1]
+    assert len(uppers) == min(most, len(lengths)) and uppers[-1] == lengths[-1]  # the budget is used to the full
 
     def padding(ends):
         at = np.searchsorted(ends, lengths)
@@ -243,10 +243,27 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in got.where("literal > 0").collect()} == brute_leaks(docs, items)
     changed = {r.doc_id for r in got.where("literal = 0 and changed > 0").collect()}
     assert 15 in changed and 13 not in changed
+    unscreened = contamination.leak_windows(d, spark.createDataFrame(list(items.items()), "item_id bigint, text string"), max_screen=0)
+    assert sorted(map(str, unscreened.collect())) == sorted(map(str, windows.collect()))
     assert contamination.leak_windows(d.where("false"), spark.createDataFrame(list(items.items()), "item_id bigint, text string")).count() == 0
     assert contamination.leak_windows(d, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_slots_must_agree_over_a_whole_passage(spark):
+    """A mapping that contradicts itself in another window of the same alignment is chance; a short item is found as a whole."""
+    item = "A train with 40 seats leaves Warsaw at 7 and meets another train with 40 seats from Gdynia at 9 near the old bridge"
+    items = spark.createDataFrame([(1, item), (2, "Where does the grey lamp of Torun stand?"), (3, "Two words")], "item_id bigint, text string")
+    docs = [
+        (1, item.replace("40", "52").replace("Warsaw", "Lublin").replace("Gdynia", "Poznan")), (2, item.replace("40 seats leaves", "52 seats leaves").replace("40 seats from", "61 seats from")),
+        (3, item + ". " + item.replace("40", "52") + ". " + item.replace("40", "77")), (4, "Asked: where does the grey lamp of Krakow stand? Nobody knew."), (5, "Where does the grey lamp stand?"), (6, "Two words"),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in contamination.leaks(contamination.leak_windows(spark.createDataFrame(docs, "doc_id bigint, text string"), items)).collect()}
+    assert got[1, 1].changed > 0 and got[1, 1].chance == got[1, 1].literal == 0
+    assert got[2, 1].chance > 0 and got[2, 1].changed == 0
+    assert got[3, 1].literal > 0 and got[3, 1].changed > 0 and got[3, 1].chance == 0
+    assert got[4, 2].short == 1 and got[4, 2].literal == 0 and set(got) == {(1, 1), (2, 1), (3, 1), (4, 2)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=40))
 def test_words_are_reduced(s):
