@@ -9,9 +9,13 @@ continuation bytes shown as letters. Texts whose marks cannot be undone
 (replacement characters, question marks in place of letters) are found by the
 marks themselves.
 
-A cheap screen (one regular expression over the body) leaves out most bodies before
-any search; the rest is searched passage by passage, so a long sound text with
-one garbled passage is found and only that passage changes.
+A cheap screen leaves out most bodies before any search: character classes looked up for all characters at once, and
+one regular expression over what they leave. The rest is searched passage by passage, so a long sound text with
+one garbled passage is found, and only that passage changes: a sound one keeps its entities and escapes. The response's
+declared charset gives the first edge that is tried.
+
+The search is bounded by ``MAX_DEPTH`` steps and ``MAX_NODES`` expanded texts a passage. A text beyond them (garbled more than three
+times over) is not restored but still found, by its marks and its cost. A text that is as good as sound ends the search.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import html as _html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +70,53 @@ _LOST_RUN = re.compile(r"(?<![^\s\"'>(])\?{3,}(?![^\s\"'<).,;:])")
 
 _SCREEN = re.compile("|".join(p.pattern for p in (_HARD, _MARK, _INSIDE, _EDGE, _SCRIPTS, _PAIR, _RUN, _RARE, _HALF, _LOST, _LOST_RUN)) + rf"|[ß-öø-ÿāăąćčęěğłńňőœřśşšťůűźżžа-яё](?=[{_UP}])|[{_LOW}](?=[À-ÖØ-ÞА-ЯЁĂĄĆČĘĹŁŃŘŚŠŹŻŽ])")
 
+#: Classes of neighbouring characters that the screen's expression needs: (first, second) and (first, second, third).
+_PAIRS = (
+    (rf"[{_LOW}]", rf"(?=[^\x00-\x7f])[{_UP}]"), (rf"(?=[^\x00-\x7f])[{_LOW}]", rf"[{_UP}]"), ("[A-Za-zÀ-ɏ]", "[Ͱ-ϿЀ-ӿ\u0250-\u036f]"), ("[Ͱ-ϿЀ-ӿ\u0250-\u036f]", "[A-Za-zÀ-ɏ]"),
+    ("[±³¶¸¹¼¦§¯ˆ˙√├┬]", rf"[{_LOW}]"), (rf"[{_LOW}]", "[±³¶¸¹¼√├┬‰ˆ˙∫]"), ("[ÂÃÄÅÆÎÏÐÑØÙĂĹ×]", rf"[{_CONT}ĄĽĘŹŁŞŤłľşťľźčęążĽ]"), ("[РСГВД]", rf"[{_CONT_CYR}]"), ("в", "[Ђ„‚]"), ("[√¬┬├‚\u2500-\u257f]", r"\S"),
+)
+_TRIPLES = ((_LETTER, rf"[{_SYMBOL}]", _LETTER), ("[à-ï]", rf"[{_CONT}]", rf"[{_CONT}]"))
+_PAIR_BITS, _TRIPLE_BITS, _RUN_BIT, _ALONE_BIT = np.uint32(0xFFFF), np.uint32(0xF0000), np.uint32(1 << 20), np.uint32(1 << 21)
+
+
+def _tables() -> list[np.ndarray]:
+    """Bits of the classes that each character of the basic plane is in, as the first, second and third of neighbours."""
+    out = [np.zeros(0x10000, dtype=np.uint32) for _ in range(3)]
+    text = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, 0x10000)))
+
+    def mark(table: np.ndarray, pattern: str, bit) -> None:
+        table[[m.start() for m in re.finditer(pattern, text)]] |= np.uint32(bit)
+
+    for group, first in ((_PAIRS, 0), (_TRIPLES, 16)):
+        for k, patterns in enumerate(group):
+            for table, pattern in zip(out, patterns):
+                mark(table, pattern, 1 << (first + k))
+    for table in out[:2]:
+        mark(table, "[À-ÖØ-öø-ÿ]", _RUN_BIT)
+    for pattern in (_HARD, _MARK, _RARE, _HALF):
+        mark(out[0], pattern.pattern, _ALONE_BIT)
+    return out
+
+
+_FIRST, _SECOND, _THIRD = _tables()
+_ASKED = re.compile(r"\?(?:[a-zß-öø-ÿą-žа-яё]|\?\?)")
+
+
+def _suspicious(text: str) -> bool:
+    """Whether the screen finds anything; most texts are told by the classes of neighbouring characters alone."""
+    if not _ASKED.search(text):
+        if text.isascii():
+            return False
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        if int(code.max()) <= 0xFFFF:  # characters beyond the basic plane are rare: the expression decides
+            first = _FIRST[code]
+            pair = first[:-1] & _SECOND[code[1:]]
+            hits = np.bitwise_or.reduce(pair & _PAIR_BITS, initial=0) | np.bitwise_or.reduce(first & _ALONE_BIT, initial=0)
+            if not hits and not (pair[:-1] & _THIRD[code[2:]] & _TRIPLE_BITS).any() and not (pair[:-2] & pair[2:] & _RUN_BIT).any():
+                return False
+    return _SCREEN.search(text) is not None
+
+
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|&#(\d{1,7});|&#[xX]([0-9a-fA-F]{1,6});|&([a-zA-Z]{2,8});")
 
 
@@ -88,7 +140,16 @@ _SPLIT = re.compile(r"<[^<>]{0,300}>|[\r\n]+|(?<!\\)\"")
 
 def passages(text: str) -> list[str]:
     """Pieces between tags, line ends and quotation marks of JSON."""
-    return [p for p in _SPLIT.split(text) if p and not p.isspace()]
+    return [text[a:b] for a, b in _spans(text)]
+
+
+def _spans(text: str) -> list[tuple[int, int]]:
+    out, at = [], 0
+    for m in _SPLIT.finditer(text):
+        out.append((at, m.start()))
+        at = m.end()
+    out.append((at, len(text)))
+    return [(a, b) for a, b in out if a < b and not text[a:b].isspace()]
 
 
 def cost(text: str) -> float:
@@ -218,7 +279,7 @@ def _lossy(text: str, cut: bool) -> bool:
 
 def judge(text: str, cut: bool = False, hints: list[list[str]] | None = None) -> tuple[bool, str]:
     """(garbled, restored): whether a passage, already unescaped, was decoded wrongly, and its text as far as it can be restored."""
-    if not _SCREEN.search(text):
+    if not _suspicious(text):
         return False, text
     lossy = _lossy(text, cut)
     bare = _QUOTED.sub(" ", text)  # signs named in sound text stand alone
@@ -240,25 +301,48 @@ def judge(text: str, cut: bool = False, hints: list[list[str]] | None = None) ->
     return False, text
 
 
-def judge_body(body: str | None, truncated: bool | None = False) -> tuple[bool, str | None, int]:
-    """(garbled, restored body, passages changed). Null and empty bodies are sound."""
+#: Names of charsets as responses give them, by the codec that the search knows.
+_CODECS = {codecs.lookup(name).name: name for name in READ_AS}
+
+
+def _first_edge(charset: str | None) -> list[list[str]]:
+    """The step that undoes a decoding with the declared charset, where that is one of those that garble."""
+    try:
+        name = _CODECS.get(codecs.lookup(charset).name) if charset else None
+    except (LookupError, ValueError):
+        name = None
+    return [[f"{name}>utf-8"]] if name else []
+
+
+def judge_body(body: str | None, truncated: bool | None = False, charset: str | None = None) -> tuple[bool, str | None, int]:
+    """(garbled, restored body, passages changed). Null and empty bodies are sound.
+
+    Only garbled passages change; all else, entities and escapes too, stays as it was.
+    """
     if not body:
         return False, body, 0
     # truncation leaves half an escape or a mark at the end
     plain = unescape_literal(body)
-    if not _SCREEN.search(plain):
+    if not _suspicious(plain):
         return False, body, 0
-    found, changed, out = False, 0, plain
-    parts = passages(plain)
-    hints: list[list[str]] = []
-    for n, part in enumerate(parts):
-        hit, fixed = judge(part, bool(truncated) and n == len(parts) - 1, hints)
+    found, changed, out, at = False, 0, [], 0
+    asked = [0, 0]
+    spans = _spans(body)
+    hints = _first_edge(charset)
+    for n, (a, b) in enumerate(spans):
+        part = unescape_literal(body[a:b])
+        hit, fixed = judge(part, bool(truncated) and n == len(spans) - 1, hints)
         if hit:
             found = True
             if fixed != part:
                 changed += 1
-                out = out.replace(part, fixed)
-    return found, out if found else body, changed
+                out += [body[at:a], fixed]
+                at = b
+        elif not found and "?" in part:
+            asked = [asked[0] + len(_LOST.findall(part)), asked[1] + len(_LOST_RUN.findall(part))]
+    # letters lost one by one in many passages
+    found = found or max(asked) >= 2
+    return found, "".join([*out, body[at:]]), changed
 
 
 _OUT = pa.schema([("response_id", pa.int64()), ("body", pa.string()), ("passages", pa.int64())])
@@ -274,15 +358,16 @@ def restore_text(responses: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, body, cut in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for i, body, cut, charset in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if i is None:
                     continue
-                found, text, changed = judge_body(body, cut)
+                found, text, changed = judge_body(body, cut, charset)
                 if found:
                     rows.append((i, text, changed))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_OUT)], schema=_OUT)
 
-    return spread(responses.select(F.col("response_id").cast("bigint"), "body", "truncated")).mapInArrow(run, "response_id bigint, body string, passages bigint")
+    charset = F.col("charset") if "charset" in responses.columns else F.lit(None).cast("string")
+    return spread(responses.select(F.col("response_id").cast("bigint"), "body", "truncated", charset.alias("charset"))).mapInArrow(run, "response_id bigint, body string, passages bigint")
 
 
 def find_garbled(responses: DataFrame) -> DataFrame:

@@ -144,6 +144,23 @@ def test_groups_of_copies(spark):
     assert near_duplicates.expand_pairs(*near_duplicates.similar_pairs(empty, 0.6)).count() == 0
 
 
+def test_only_garbled_passages_change():
+    sound, bad = "caf&eacute; &copy; 2020 &#8364;5 \\u00e9t\\u00e9", "Ã©tÃ© Ã  NÃ®mes"
+    body = f"<p>{sound}</p><p>{bad}</p><p>NÃ®mes</p><p>{bad} and more of it, dÃ©jÃ </p>"
+    found, text, changed = garbled.judge_body(body)
+    assert found and changed >= 2 and text.startswith(f"<p>{sound}</p><p>été à Nîmes</p>")
+    assert garbled.judge_body(f"<p>{sound}</p>") == (False, f"<p>{sound}</p>", 0)
+    assert garbled.judge_body(f"<p>{bad}</p>", charset="windows-1252")[1] == "<p>été à Nîmes</p>" == garbled.judge_body(f"<p>{bad}</p>", charset="nonsense")[1]
+    # one loss in each of several passages
+    assert garbled.judge_body("<p>Le march? a ouvert</p><p>un caf?s ferm</p><p>la for?t verte</p>")[0] and not garbled.judge_body("<p>Why?no idea</p>")[0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aéÃ©Â±?ž™РЂвà³√├Łą\ufffd ")), max_size=30))
+def test_class_tables_lose_nothing_that_the_screen_finds(text):
+    assert garbled._suspicious(text) == (garbled._SCREEN.search(text) is not None)
+
+
 # ---- packing
 
 
