@@ -145,17 +145,17 @@ def test_groups_of_copies(spark):
 
 
 def test_only_garbled_passages_change():
-    sound, bad = "caf&eacute; &copy; 2020 &#8364;5 \\u00e9t\\u00e9", "Ã©tÃ© Ã  NÃ®mes"
-    body = f"<p>{sound}</p><p>{bad}</p><p>NÃ®mes</p><p>{bad} and more of it, dÃ©jÃ </p>"
+    sound, bad = "caf&eacute; &copy; 2020 &#8364;5 \\u00e9t\\u00e9", misread("Un été très long à Nîmes", "utf-8", "cp1252")
+    body = f"<p>{sound}</p><p>{bad}</p><p>{bad} and more of it</p>"
     found, text, changed = garbled.judge_body(body)
-    assert found and changed >= 2 and text.startswith(f"<p>{sound}</p><p>été à Nîmes</p>")
+    assert found and changed == 2 and text.startswith(f"<p>{sound}</p><p>Un été très long à Nîmes</p>")
     assert garbled.judge_body(f"<p>{sound}</p>") == (False, f"<p>{sound}</p>", 0)
-    assert garbled.judge_body(f"<p>{bad}</p>", charset="windows-1252")[1] == "<p>été à Nîmes</p>" == garbled.judge_body(f"<p>{bad}</p>", charset="nonsense")[1]
+    assert garbled.judge_body(f"<p>{bad}</p>", charset="windows-1252")[1] == "<p>Un été très long à Nîmes</p>" == garbled.judge_body(f"<p>{bad}</p>", charset="nonsense")[1]
     # one loss in each of several passages
     assert garbled.judge_body("<p>Le march? a ouvert</p><p>un caf?s ferm</p><p>la for?t verte</p>")[0] and not garbled.judge_body("<p>Why?no idea</p>")[0]
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aéÃ©Â±?ž™РЂвà³√├Łą\ufffd ")), max_size=30))
 def test_class_tables_lose_nothing_that_the_screen_finds(text):
     assert garbled._suspicious(text) == (garbled._SCREEN.search(text) is not None)
@@ -346,10 +346,16 @@ def test_a_text_on_a_third_of_all_rows_has_its_subject(spark):
     assert got == {(k, s) for k, s in subject.items()} | {(1000 + k, "law") for k in range(60)}
 
 
-def test_mixture_of_two_subjects():
-    model = subjects.Model(["law", "sport"], {"court": (0, 0, 0.9), "goal": (1, 1, 0.9)})
-    mix, n = subjects.mixture("The court sat for long today. A goal fell in the end today. Nothing else was said.", model)
-    assert n and abs(mix[0] - 0.5) < 0.1 and abs(mix.sum() - 1) < 1e-9
+def test_mixture_of_leaves():
+    """A document's subjects are those of its leaves: without the leaves' own mixtures a leaf of two subjects would count for one."""
+    model = subjects.Model(["law", "sport"], {"court": 0, "goal": 1, "club": 2}, np.array([[1, 0, 0], [0, 1, 0], [0, 0, 1]], np.float32), np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]]))
+    text = "The court sat for long today. A goal fell in the end today. Nothing else was said."
+    leaves, n = subjects.leaf_mixture(text, model)
+    assert n and abs(leaves[0] - 0.5) < 0.1 and leaves[2] == 0 and abs(leaves.sum() - 1) < 1e-6
+    assert abs(subjects.mixture(text, model)[0][0] - 0.5) < 0.1
+    both = subjects.mixture("The club met here.", model)[0]
+    assert both.tolist() == [0.5, 0.5]  # one leaf, two subjects
+    assert subjects.mixture("The club met here. A goal fell in the end.", model)[0][1] > 0.7
 
 
 def test_queries(spark, data):
