@@ -193,6 +193,11 @@ def _scored(html: str | None) -> list[dict]:
     return [{"node_id": c.node, "tag": tree.tag[c.node], "score": round(c.score, 6), "text_len": c.text_len, "link_density": round(c.link_density, 6)} for c in candidates(tree)]
 
 
+def _markdown(html: str | None, base: str | None) -> str:
+    tree = parse(html)
+    return to_markdown(tree, tree.kids[tree.body] if tree.body is not None else [], base)
+
+
 _SKIPPED = frozenset("script style template noscript".split())
 
 
@@ -213,7 +218,7 @@ def _visible(html: str | None) -> str:
 
 @cache
 def _udf(name: str):
-    two = {"assets": (_assets, pa.list_(_ASSET), "array<struct<url: string, kind: string, rel: string>>"), "prefetch": (_prefetch, pa.list_(pa.string()), "array<string>"), "refresh": (_refresh, pa.string(), "string")}
+    two = {"assets": (_assets, pa.list_(_ASSET), "array<struct<url: string, kind: string, rel: string>>"), "prefetch": (_prefetch, pa.list_(pa.string()), "array<string>"), "refresh": (_refresh, pa.string(), "string"), "markdown": (_markdown, pa.string(), "string")}
     one = {"serialize": (lambda h: document_html(parse(h)), pa.string(), "string"), "visible": (_visible, pa.string(), "string"), "imports": (import_specifiers, pa.list_(pa.string()), "array<string>"),
            "scored": (_scored, pa.list_(_BLOCK), "array<struct<node_id: int, tag: string, score: double, text_len: bigint, link_density: double>>")}
     if name in two:
@@ -247,6 +252,11 @@ def refresh_target(html: Column, base: Column) -> Column:
     return _udf("refresh")(html, base)
 
 
+def markdown(html: Column, base: Column) -> Column:
+    """The whole body as Markdown, without the choice of an article."""
+    return _udf("markdown")(html, base)
+
+
 def serialize(html: Column) -> Column:
     """The page as its tree writes it."""
     return _udf("serialize")(html)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folio import cases
 from folio.functions.site import SUFFIXES, TRACKER_HOSTS
 
 __all__ = ["ADDRESSES", "COOKIES", "EDGES", "GLOBS", "HOSTS", "ROBOTS", "SELECTORS", "oracle_sql"]
@@ -161,6 +162,20 @@ SELECT start, place AS url, CAST(hops AS BIGINT) AS hops, CASE WHEN target IS NU
         "import_targets": "SELECT page_id, specifier, CASE specifier WHEN 'app' THEN o || '/static/app.js' WHEN 'lib/x.js' THEN o || '/static/lib/x.js' END AS target FROM (SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(url, '^([a-z]+://[^/]*)', 1)), '^(https://.*):443$', '\\1'), '^(http://.*):80$', '\\1') AS o FROM pages) p, (VALUES ('app'), ('lib/x.js'), ('other')) v(specifier)",
         "event_windows": "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start_s, event_type, count(*) AS events FROM events GROUP BY 1, 2",
     }
+    out |= {
+        "selector_cases": cases.values(list(cases.SELECTORS.items()), "selector, ids"),
+        "selector_join_cases": cases.values([(s, i) for s in cases.SELECTORS_JOINED for i in cases.SELECTORS[s].split()], "selector, id"),
+        "markdown_cases": cases.values([(r[0], r[2]) for r in cases.MARKDOWN], 'name, markdown'),
+        "url_join_cases": f"SELECT CAST(n AS BIGINT) AS n, url FROM ({cases.values([(k, r[2]) for k, r in enumerate(cases.JOINS)], 'n, url')})",
+        "url_part_cases": f"SELECT CAST(n AS BIGINT) AS n, scheme, host, path, query, fragment FROM ({cases.values([(k, *r[1:]) for k, r in enumerate(cases.PARTS)], 'n, scheme, host, path, query, fragment')})",
+        "body_cases": cases.values([(r[0], *r[3:]) for r in cases.BODIES], 'name, charset, text'),
+        "kind_cases": cases.values([(r[0], r[3]) for r in cases.KINDS], 'name, kind'),
+        "refresh_cases": cases.values([(r[0], r[2]) for r in cases.REFRESH], 'name, target'),
+        "link_cases": f"SELECT what, CAST(n AS BIGINT) AS n, href FROM ({cases.values(cases.LINKS[1], 'what, n, href')})",
+        "module_cases": cases.values([(r[0], r[2]) for r in cases.MODULES], 'name, imports'),
+        "metadata_cases": cases.values([(r[0], r[3]) for r in cases.METADATA], 'name, value'),
+        "tree_cases": cases.values([(r[0], r[2]) for r in cases.NODES], 'name, body'),
+    }
     for name, (_, sql) in SELECTORS.items():
         out[f"select_{name}"] = f"SELECT page_id, CAST({sql} AS BIGINT) AS elements FROM (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', '', 'g') AS html FROM pages)"
     return out

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio import cases
 from folio.css.match import css_count, css_select
 from folio.css.plan import select_nodes
 from folio.functions import charset, cookies, robots, site, text, url
@@ -198,7 +199,10 @@ for _name, (_selector, _) in SELECTORS.items():
 
 def _plan(name: str, selector: str):
     def run(spark, t):
-        return select_nodes(stage(html_nodes(t("pages")), "nodes"), selector).select("page_id", "node_id", "tag", "pre")
+        nodes = html_nodes(t("pages"))
+        if ":empty" not in selector:  # text nodes count there alone
+            nodes = nodes.where("node_type = 1").drop("text")
+        return select_nodes(stage(nodes, "nodes"), selector).select("page_id", "node_id", "tag", "pre")
 
     run.__name__, run.__doc__ = f"nodes_{name}", f"Rows of the node table that match ``{selector}``, as joins."
     return query(run)
@@ -700,5 +704,114 @@ def event_windows(spark, t):
     return out.select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start_s"), "event_type", "events")
 
 
+# ---- cases
+
+
+def _cases(spark, rows, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+@query
+def selector_cases(spark, t):
+    """Ids of what each selector matches on one page, by the matcher."""
+    page = _cases(spark, [(cases.SELECTOR_PAGE,)], "html string")
+    found = page.select(*(css_select(F.col("html"), s, "html").alias(f"s{k}") for k, s in enumerate(cases.SELECTORS)))
+    each = F.array(*(F.struct(F.lit(s).alias("selector"), F.col(f"s{k}").alias("found")) for k, s in enumerate(cases.SELECTORS)))
+    ids = F.array_join(F.transform("c.found", lambda x: F.regexp_extract(x, 'id="([^"]*)"', 1)), " ")
+    return found.select(F.explode(each).alias("c")).select("c.selector", ids.alias("ids"))
+
+
+@query
+def selector_join_cases(spark, t):
+    """The same for combinators and structure, as joins over the node table."""
+    nodes = stage(html_nodes(_cases(spark, [(1, cases.SELECTOR_PAGE)], "page_id bigint, html string")), "nodes")
+    out = None
+    for s in cases.SELECTORS_JOINED:
+        one = select_nodes(nodes, s).select(F.lit(s).alias("selector"), F.try_element_at("attr", F.lit("id")).alias("id"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def markdown_cases(spark, t):
+    """Markdown of each kind of block and inline element."""
+    rows = _cases(spark, [r[:2] for r in cases.MARKDOWN], "name string, html string")
+    return rows.select("name", reading.markdown(F.col("html"), F.lit("https://d.example/a/p")).alias("markdown"))
+
+
+@query
+def url_join_cases(spark, t):
+    """Relative references against their bases."""
+    rows = _cases(spark, [(k, *r[:2]) for k, r in enumerate(cases.JOINS)], "n bigint, base string, text string")
+    return rows.select("n", url.url_join(F.col("base"), F.col("text")).alias("url"))
+
+
+@query
+def url_part_cases(spark, t):
+    """Parts of addresses."""
+    rows = _cases(spark, [(k, r[0]) for k, r in enumerate(cases.PARTS)], "n bigint, text string").withColumn("p", url.url_parts(F.col("text")))
+    return rows.select("n", "p.scheme", "p.host", "p.path", "p.query", "p.fragment")
+
+
+@query
+def body_cases(spark, t):
+    """Charset and text of bodies: marks, headers, meta elements, guesses."""
+    rows = _cases(spark, [(r[0], bytearray(r[1]), r[2]) for r in cases.BODIES], "name string, raw binary, content_type string").withColumn("d", charset.decode_body(F.col("raw"), F.col("content_type")))
+    return rows.select("name", "d.charset", "d.text")
+
+
+@query
+def kind_cases(spark, t):
+    """Content kinds, declared and sniffed."""
+    rows = _cases(spark, [(r[0], bytearray(r[1]), r[2]) for r in cases.KINDS], "name string, raw binary, content_type string")
+    return rows.select("name", charset.content_kind(F.col("content_type"), F.col("raw")).alias("kind"))
+
+
+@query
+def refresh_cases(spark, t):
+    """Targets of meta refreshes."""
+    rows = _cases(spark, [r[:2] for r in cases.REFRESH], "name string, html string")
+    return rows.select("name", reading.refresh_target(F.col("html"), F.lit("https://d.example/a/p")).alias("target"))
+
+
+@query
+def page_refreshes(spark, t):
+    """Prompt refreshes that pages state, with the page that each leads to, if it is listed."""
+    pages = t("pages")
+    found = spread(pages).select("page_id", reading.refresh_target(F.coalesce("html", "source_html"), F.col("url")).alias("target")).where("target is not null")
+    return found.join(pages.select(F.col("page_id").alias("target_id"), F.col("url").alias("target")), "target", "left").select("page_id", "target", "target_id")
+
+
+@query
+def link_cases(spark, t):
+    """Links and early scripts of one page."""
+    page = _cases(spark, [(cases.LINKS[0], "https://d.example/a/p")], "html string, url string")
+    strict = page.select(F.lit("strict").alias("what"), F.posexplode(F.transform(reading.links(F.col("html"), F.col("url"), limit=200, strict=True), lambda x: x["href"])).alias("n", "href"))
+    early = page.select(F.lit("prefetch").alias("what"), F.posexplode(reading.prefetch(F.col("html"), F.col("url"))).alias("n", "href"))
+    return strict.unionByName(early).select("what", F.col("n").cast("bigint").alias("n"), "href")
+
+
+@query
+def module_cases(spark, t):
+    """Addresses that module sources import."""
+    rows = _cases(spark, [r[:2] for r in cases.MODULES], "name string, source string")
+    return rows.select("name", F.array_join(reading.imports(F.col("source")), " ").alias("imports"))
+
+
+@query
+def metadata_cases(spark, t):
+    """One field of the metadata of each head."""
+    rows = _cases(spark, [r[:3] for r in cases.METADATA], "name string, html string, field string").withColumn("r", reading.read_page(F.col("html"), F.lit("https://d.example/a/p")))
+    fields = sorted({r[2] for r in cases.METADATA})
+    return rows.select("name", F.coalesce(*(F.when(F.col("field") == f, F.col(f"r.{f}")) for f in fields)).alias("value"))
+
+
+@query
+def tree_cases(spark, t):
+    """Bodies as the tree builder makes them of loose markup."""
+    rows = _cases(spark, [r[:2] for r in cases.NODES], "name string, html string")
+    return rows.select("name", F.regexp_extract(reading.serialize(F.col("html")), "(?s)<body>(.*)</body>", 1).alias("body"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
