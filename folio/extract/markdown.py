@@ -54,14 +54,17 @@ class _Writer:
         self.lists: list[list] = []  # [ordered, counter]
         self.pre = False
         self.full = False
+        self.look = 0  # characters before which the size cannot reach the limit
 
     # -- output
     def push(self, s: str) -> None:
         if self.full:
             return
         self.out.extend(s)
-        if self.most is not None and len("".join(self.out).encode("utf-8", "surrogatepass")) >= self.most:
-            self.full = True
+        if self.most is not None and len(self.out) >= self.look:
+            left = self.most - len("".join(self.out).encode("utf-8", "surrogatepass"))
+            self.full = left <= 0
+            self.look = len(self.out) + max(1, left // 4)  # a character has four bytes at most
 
     def block(self) -> None:
         out = self.out

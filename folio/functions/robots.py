@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.functions.text import ascii_lower
+from folio.session import hot_join
 
 __all__ = ["path_matches", "robots_allows", "robots_rules"]
 
@@ -72,14 +73,23 @@ def robots_allows(requests: DataFrame, rules: DataFrame, user_agent: str) -> Dat
     own = own.withColumn("best", F.max("specific").over(Window.partitionBy("origin"))).where("specific = best").select("origin", "pattern", F.col("allowed").alias("_allows"))
     # one array of rules per origin: a request is joined once, whatever its origin's number of rules
     sets = own.groupBy("origin").agg(F.collect_list(F.struct(F.octet_length("pattern").alias("size"), F.col("_allows").alias("allows"), "pattern")).alias("_rules"))
-    joined = requests.join(sets, "origin", "left")
-
-    @F.arrow_udf(T.BooleanType())
-    def decide(path: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for p, rs in zip(path.to_pylist(), found.to_pylist()):
-            hits = [(r["size"], r["allows"]) for r in rs or () if p is not None and _match(r["pattern"], p)]
-            out.append(max(hits)[1] if hits else True)
-        return pa.array(out, pa.bool_())
-
-    return joined.withColumn("allowed", decide(F.col("path"), F.col("_rules"))).drop("_rules")
+    # an origin may hold a large part of all requests
+    joined = hot_join(requests, sets, ["origin"], "path", how="left")
+    marked = lambda r: F.contains(r["pattern"], F.lit("*")) | F.endswith(r["pattern"], F.lit("$"))
+    verdict = lambda r: F.struct(r["size"].alias("size"), r["allows"].alias("allows"))
+    plain = F.array_max(F.transform(F.filter("_rules", lambda r: ~marked(r) & F.startswith(F.col("path"), r["pattern"])), verdict))
+    best = F.greatest(plain, _longest(F.col("path"), F.filter("_rules", marked)))  # nulls are passed over
+    return joined.withColumn("allowed", F.coalesce(best["allows"], F.lit(True))).drop("_rules")
+
+
+_VERDICT = pa.struct([("size", pa.int32()), ("allows", pa.bool_())])
+
+
+@F.arrow_udf(T.StructType([T.StructField("size", T.IntegerType()), T.StructField("allows", T.BooleanType())]))
+def _longest(path: pa.Array, rules: pa.Array) -> pa.Array:
+    """Of the rules with marks that match, the longest, an allowing one first; null if none does."""
+    out = []
+    for p, rs in zip(path.to_pylist(), rules.to_pylist()):
+        hits = [(r["size"], r["allows"]) for r in rs or () if p is not None and _match(r["pattern"], p)]
+        out.append(dict(zip(("size", "allows"), max(hits))) if hits else None)
+    return pa.array(out, _VERDICT)

@@ -154,9 +154,9 @@ SELECT page_id, CASE WHEN error IS NULL THEN '{"kind":"' || k || '","url":"' ||
         "feed_kinds": "SELECT f.kind AS kind, count(*) AS feeds, count(DISTINCT f.url) AS addresses FROM (SELECT unnest(feeds) AS f FROM page_meta) GROUP BY 1",
         "schema_types": "SELECT type, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(schema_types) AS type FROM page_meta) GROUP BY 1",
         "timer_fire_order": """WITH t AS (SELECT user_id, event_id AS timer_id, CAST((event_id * 37) % 15000 AS BIGINT) AS due_ms, event_type FROM events WHERE event_type <> 'signup'), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, due_ms, timer_id) AS rank FROM t WHERE due_ms <= 10000)
-SELECT user_id, timer_id, due_ms, rank FROM r WHERE rank <= 500""",
-        "timer_intervals": "SELECT user_id, event_id AS timer_id, CAST(10000 // d AS BIGINT) AS fired, CAST(10000 // d * d AS BIGINT) AS last_ms FROM (SELECT user_id, event_id, (event_id * 37) % 15000 AS d FROM events WHERE event_type = 'view') WHERE d BETWEEN 500 AND 10000",
-        "admitted_requests": "SELECT page_id, response_id FROM (SELECT page_id, response_id, row_number() OVER (PARTITION BY page_id ORDER BY response_id) AS n FROM (SELECT DISTINCT page_id, response_id FROM responses)) WHERE n <= 3",
+SELECT user_id, timer_id, due_ms, rank FROM r WHERE rank <= 10000""",
+        "timer_intervals": "SELECT user_id, event_id AS timer_id, CAST((10000 - d) // greatest(d, 1) + 1 AS BIGINT) AS fired, CAST(d + (10000 - d) // greatest(d, 1) * greatest(d, 1) AS BIGINT) AS last_ms FROM (SELECT user_id, event_id, (event_id * 37) % 15000 AS d FROM events WHERE event_type = 'view') WHERE d <= 10000",
+        "admitted_requests": "SELECT page_id, response_id FROM (SELECT page_id, response_id, row_number() OVER (PARTITION BY page_id ORDER BY response_id) AS n FROM (SELECT DISTINCT page_id, response_id FROM responses)) WHERE n <= 384",
         "redirect_hops": f"""WITH RECURSIVE e AS (SELECT * FROM (VALUES {_V(EDGES)}) v(url, target)), c AS (SELECT url AS start, url AS place, [url] AS seen, 0 AS hops FROM e UNION ALL SELECT start, target, list_append(seen, target), hops + 1 FROM c JOIN e ON place = e.url WHERE NOT list_contains(seen, target) AND hops < 3)
 SELECT start, place AS url, CAST(hops AS BIGINT) AS hops, CASE WHEN target IS NULL THEN 'end' WHEN hops = 3 THEN 'limit' ELSE 'loop' END AS stopped FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops DESC) AS k FROM c) c LEFT JOIN e ON place = e.url WHERE k = 1""",
         "import_targets": "SELECT page_id, specifier, CASE specifier WHEN 'app' THEN o || '/static/app.js' WHEN 'lib/x.js' THEN o || '/static/lib/x.js' END AS target FROM (SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(url, '^([a-z]+://[^/]*)', 1)), '^(https://.*):443$', '\\1'), '^(http://.*):80$', '\\1') AS o FROM pages) p, (VALUES ('app'), ('lib/x.js'), ('other')) v(specifier)",

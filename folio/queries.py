@@ -70,7 +70,7 @@ def read_pages(spark, t):
 @query
 def read_json(spark, t):
     """One JSON record per page: its reading, or the error."""
-    r = reading.read_page(F.col("html"), F.col("url"), images=False, with_links=False, max_chars=2000)
+    r = reading.read_page(F.col("html"), F.col("url"), images=False, with_links=False)
     rows = spread(t("pages")).select("page_id", "url", r.alias("r"))
     return rows.select("page_id", scrape_records(F.col("url"), F.col("r.error"), title=F.col("r.title"), content=F.col("r.content"), length=F.col("r.length"), low_confidence=F.col("r.low_confidence")).alias("record"))
 
@@ -640,23 +640,13 @@ def timer_fire_order(spark, t):
     """Timers that fire once, in the order of a virtual clock."""
     once = _timers(t).withColumn("repeat", F.lit(False))
     off = t("events").where("event_type = 'signup'").select("user_id", F.col("event_id").alias("timer_id"))
-    out = clock.fire_order(once, off, keys=["user_id"], max_fired=500)
+    out = clock.fire_order(once, off, keys=["user_id"])
     return out.select("user_id", "timer_id", "due_ms", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query
 def timer_intervals(spark, t):
-    """Firings of the repeating timers of at least 500 ms up to the horizon; ``timer_intervals_all`` has every period."""
-    out = clock.fire_order(_timers(t).where("repeat and delay_ms >= 500"), keys=["user_id"])
-    return out.groupBy("user_id", "timer_id").agg(F.count("*").alias("fired"), F.max("due_ms").alias("last_ms"))
-
-
-@query
-def timer_intervals_all(spark, t):
-    """Firings of all repeating timers up to the horizon, also those of under 500 ms that ``timer_intervals`` and its SQL leave out.
-
-    Only the horizon ends them, no budget per user does.
-    """
+    """Firings of all repeating timers up to the horizon, which alone ends them: no budget per user does."""
     out = clock.fire_order(_timers(t).where("repeat"), max_fired=None, keys=["user_id"])
     return out.groupBy("user_id", "timer_id").agg(F.count("*").alias("fired"), F.max("due_ms").alias("last_ms"))
 
@@ -664,7 +654,7 @@ def timer_intervals_all(spark, t):
 @query
 def admitted_requests(spark, t):
     """Requests of each page within its budget."""
-    return clock.admitted_requests(t("responses").select("page_id", "response_id").distinct(), ["page_id"], ["response_id"], budget=3)
+    return clock.admitted_requests(t("responses").select("page_id", "response_id").distinct(), ["page_id"], ["response_id"])
 
 
 @query

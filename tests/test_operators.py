@@ -115,7 +115,7 @@ def test_short_intervals_fire_too(spark, tmp_path):
     by_delay = {d: next(e for e in range(1, 15_001) if e * 37 % 15_000 == d) for d in (0, 1, 7, 499, 500, 9_999, 10_001)}
     rows = [(5, e, "view") for e in by_delay.values()] + [(5, by_delay[7] + 15_000, "click")]
     spark.createDataFrame(rows, "user_id bigint, event_id bigint, event_type string").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r.timer_id: (r.fired, r.last_ms) for r in queries()["timer_intervals_all"](spark, str(tmp_path)).collect()}
+    got = {r.timer_id: (r.fired, r.last_ms) for r in queries()["timer_intervals"](spark, str(tmp_path)).collect()}
     # a delay of 0 fires at once and then every millisecond
     assert got == {e: (10_000 // d, 10_000 // d * d) if d else (10_001, 10_000) for d, e in by_delay.items() if d <= 10_000}
 
