@@ -309,12 +309,13 @@ def verified_pairs(candidates: DataFrame, sets: DataFrame, t: float, blocks: int
     signed = sets.select("id", "n", "tokens").mapInArrow(sign, "id bigint, n int, sig binary").withColumn("k", block("id"))
     if blocks <= few:
         tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(F.col("k"), o).alias("i"), F.greatest(F.col("k"), o).alias("j")))
-        spread = signed.select("id", "n", "sig", F.explode(tiles).alias("t")).select("id", "n", "sig", F.col("t.i").alias("i"), F.col("t.j").alias("j"))
+        spread = signed.select("id", "n", "sig", F.explode(tiles).alias("t")).select("id", "n", "sig", F.col("t.i").alias("to_i"), F.col("t.j").alias("to_j"))
     else:
         pairs = stage(pairs.distinct(), "pairs")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("id"), "i", "j").distinct()
+        # columns of their own: a cogroup of two tables with the same ones is refused as ambiguous
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.col("i").alias("to_i"), F.col("j").alias("to_j")).distinct()
         spread = asked.join(signed.select("id", "n", "sig"), "id")
-    passed = stage(pairs.groupBy("i", "j").cogroup(spread.groupBy("i", "j")).applyInArrow(screen, "a bigint, b bigint"), "passed")
+    passed = stage(pairs.groupBy("i", "j").cogroup(spread.groupBy("to_i", "to_j")).applyInArrow(screen, "a bigint, b bigint"), "passed")
     # only the arrays of records in some passed pair are moved
     ids = passed.select(F.col("a").alias("id")).union(passed.select(F.col("b").alias("id"))).distinct()
     arrays = sets.select("id", "n", "tokens").join(broadcast_if_small(ids, 500_000), "id", "left_semi")

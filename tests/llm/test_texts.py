@@ -123,6 +123,18 @@ def test_hot_tiles_are_split_without_loss(spark):
     table.unpersist()
 
 
+def test_more_blocks_than_a_few_lose_nothing(spark):
+    """Beyond FEW_BLOCKS blocks (131,072 records) signatures go only where their record has pairs."""
+    texts = family(random.Random(5), 120)
+    table = near_duplicates.shingle_table(spark.createDataFrame(list(texts.items()), "id bigint, text string"), lambda x: [x], 3).persist()
+    first = table.groupBy("whole").agg(F.min("id").alias("id"))
+    sets = table.join(first.select("id"), "id", "left_semi")
+    want = {p for p in brute_pairs(texts, 3, 0.6) if {*p} <= {r.id for r in first.collect()}}
+    got = near_duplicates.verified_pairs(near_duplicates.candidate_pairs(sets, 0.6), sets, 0.6, blocks=near_duplicates.FEW_BLOCKS + 1)
+    assert want and {(r.a, r.b) for r in got.collect()} == want
+    table.unpersist()
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.sets(st.integers(-(2**63), 2**63 - 1), min_size=1, max_size=300), st.sets(st.integers(-(2**63), 2**63 - 1), min_size=1, max_size=300), st.integers(0, 200))
 def test_bitmaps_bound_from_above(a, b, shared):
