@@ -1,7 +1,7 @@
 """Subject areas of each document (problem 9).
 
-*Fit*, on a bounded sample (``FIT_ROWS`` distinct texts, by hash of the id): normalised tf-idf vectors are clustered by
-bisecting k-means; each leaf is described by its discriminative terms (log odds against the other leaves) and has the
+*Fit*, on all distinct texts, each read whole: normalised tf-idf vectors are clustered by bisecting k-means in passes over
+the staged vectors; only the two members that a split begins with are drawn. Each leaf is described by its discriminative terms (log odds against the other leaves) and has the
 subjects that its labelled texts have, each subject counting alike. A discriminative term belongs to leaves as it stands in them.
 
 *Assignment*, over all documents and whole texts: each sentence is shared out over the leaves to which its terms belong; a
@@ -13,6 +13,7 @@ table of terms by leaves.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,12 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.session import spread
+from folio.session import spread, stage
 
-__all__ = ["Model", "assign", "bisecting_kmeans", "distinct_texts", "fit", "fit_sample", "leaf_mixture", "leaf_table", "mixture"]
+__all__ = ["Model", "assign", "bisect", "bisecting_kmeans", "distinct_texts", "fit", "fit_sample", "leaf_mixture", "leaf_table", "mixture"]
 
-#: Texts in the sample that the leaves are fitted on, at most; all texts are assigned.
-FIT_ROWS = 12_000
 LEAVES = 320
 #: Least share of a document's text; about a third, less what headings and notes take and what leaves of mixed texts share out to others.
 MIN_SHARE = 0.21
@@ -139,77 +138,199 @@ def distinct_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Sample:
-    """Texts as rows of word counts (row starts, codes of words, counts), the words by code, and each text's subject or None."""
+class Corpus:
+    """All distinct texts as unit vectors (h, idx, val, subject; staged), their words with the number of texts that each stands in, and the number of texts."""
 
-    starts: np.ndarray
-    codes: np.ndarray
-    counts: np.ndarray
+    vectors: DataFrame
     words: list[str]
-    subjects: list[str | None]
+    df: np.ndarray
+    texts: int
 
 
-def fit_sample(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Sample:
-    """At most ``rows`` distinct texts, chosen by the hash of the id, each read whole.
+def fit_sample(documents: DataFrame, labels: DataFrame) -> Corpus:
+    """Every distinct text, read whole, as a normalised tf-idf vector; document frequencies are counted over all of them.
 
-    The driver gets the words and their counts, not the texts, as arrays.
+    The driver gets the vocabulary alone: words in at least one of 2,500 texts, so it does not grow with the corpus.
     """
-    texts = documents.where("doc_id is not null and length(text) > 0").select(F.xxhash64("text").alias("key")).distinct().count()
-    # a share of the hash range holds little more than the sample, so that only it is sorted
-    share = min(1.0, 1.2 * rows / max(1, texts))
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    some = distinct_texts(documents, labels).where(h < int(share * (1 << 31))).select("doc_id", "text", "subject", h.alias("h"))
-    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("subject", pa.string()), ("h", pa.int64())])
+    some = distinct_texts(documents, labels).select("text", "subject", F.xxhash64("doc_id").alias("h"))
+    schema = pa.schema([("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("subject", pa.string()), ("h", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(w for w in map(str.lower, _WORD.findall(t)) if len(w) > 1) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in found], schema.field(0).type), pa.array([list(c.values()) for c in found], schema.field(1).type), batch.column(1), batch.column(2)], schema=schema)
+
+    counted = stage(some.mapInArrow(count, "words array<string>, counts array<int>, subject string, h bigint"), "words")
+    texts = counted.count()
+    least = max(4, texts // 2500)
+    # words that stand everywhere weigh little by their idf, and terms are chosen by how unevenly they stand over subjects
+    known = counted.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= least).toArrow().sort_by("word")
+    words, df = known["word"].to_pylist(), known["df"].to_numpy()
+    shared = documents.sparkSession.sparkContext.broadcast(({w: k for k, w in enumerate(words)}, np.log(texts / df) if len(df) else np.zeros(0)))
+    out = pa.schema([("h", pa.int64()), ("idx", pa.list_(pa.int32())), ("val", pa.list_(pa.float32())), ("subject", pa.string())])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, idf = shared.value
+        for batch in batches:
+            idx, val = [], []
+            for own, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held = sorted((k, c) for w, c in zip(own, n) if (k := at.get(w)) is not None)
+                i = np.array([k for k, _ in held], np.int32)
+                v = (1 + np.log(np.array([c for _, c in held], float))) * idf[i]
+                idx.append(i)
+                val.append((v / max(math.sqrt(float(v @ v)), 1e-9)).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(idx, out.field(1).type), pa.array(val, out.field(2).type), batch.column(2)], schema=out)
+
+    return Corpus(stage(counted.mapInArrow(weigh, "h bigint, idx array<int>, val array<float>, subject string"), "vectors"), words, df, texts)
+
+
+@dataclass
+class Tree:
+    """Splits: ``child`` is a node's first child (the second follows it) or -1, ``way`` what leads to the first one where its product is positive."""
+
+    child: np.ndarray
+    way: np.ndarray
+
+
+def _descend(rows, tree: Tree) -> np.ndarray:
+    """Leaf of each vector."""
+    ptr, idx, val = rows
+    node = np.zeros(len(ptr) - 1, np.int64)
+    lens = np.diff(ptr)
+    while True:
+        go = np.flatnonzero(tree.child[node] >= 0)
+        if not len(go):
+            return node
+        p, i, v = rows if len(go) == len(node) else _take(rows, go)
+        part = np.concatenate(([0.0], np.cumsum(v * tree.way[np.repeat(node[go], lens[go]), i], dtype=np.float64)))
+        node[go] = tree.child[node[go]] + (part[p[1:]] - part[p[:-1]] <= 0)
+
+
+def _rows(batch: pa.RecordBatch):
+    lists = batch.column(1)
+    ptr = np.asarray(lists.offsets).astype(np.int64)
+    return ptr - ptr[0], np.asarray(lists.flatten()).astype(np.int64), np.asarray(batch.column(2).flatten())
+
+
+def _sweep(corpus: Corpus, tree: Tree, leaves: list[int], names: list[str] | None = None, picks: int = 0):
+    """One pass over all vectors: (sizes, sums of vectors or, with ``names``, numbers of texts by term, votes by subject, labelled texts by term, drawn members) by leaf.
+
+    Every task adds up its share, as many tasks as cores, so what the driver gets does not grow with the corpus.
+    """
+    context = corpus.vectors.sparkSession.sparkContext
+    width, votes_of = len(corpus.words), {s: k for k, s in enumerate(names or [])}
+    shared = context.broadcast((tree, np.array(leaves)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, wanted = shared.value
+        slot = np.full(len(tree.child), -1)
+        slot[wanted] = np.arange(len(wanted))
+        size, sums, votes = np.zeros(len(wanted)), np.zeros(len(wanted) * width, np.float32), np.zeros((len(wanted), len(votes_of)))
+        told, drawn = np.zeros(width, np.float32), [[] for _ in wanted]
         for batch in batches:
-            found = [Counter(w.lower() for w in _WORD.findall(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(c) for c in found], schema.field(1).type), pa.array([list(c.values()) for c in found], schema.field(2).type), batch.column(2), batch.column(3)], schema=schema)
+            rows = _rows(batch)
+            at = slot[_descend(rows, tree)]
+            size += np.bincount(at[at >= 0], minlength=len(wanted))
+            lens = np.diff(rows[0])
+            owner = np.repeat(at, lens)
+            held = owner >= 0
+            np.add.at(sums, owner[held] * width + rows[1][held], np.float32(1) if names is not None else rows[2][held])
+            if names is not None:
+                subject = np.array([votes_of.get(s, -1) for s in batch.column(3).to_pylist()])
+                has = subject >= 0
+                np.add.at(votes, (at[has], subject[has]), 1)
+                np.add.at(told, rows[1][np.repeat(has, lens)], np.float32(1))
+            if picks:
+                h = batch.column(0).to_numpy()
+                for k in np.argsort(h, kind="stable"):
+                    if at[k] >= 0 and lens[k] and (len(own := drawn[at[k]]) < picks or h[k] < own[-1][0]):
+                        own.append((int(h[k]), rows[1][rows[0][k] : rows[0][k + 1]], rows[2][rows[0][k] : rows[0][k + 1]]))
+                        own.sort(key=lambda x: x[0])
+                        del own[picks:]
+        for k in range(len(wanted)):
+            if size[k]:
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([size[k]]), pa.array([sums[k * width : (k + 1) * width].tobytes()], pa.binary()), pa.array([pickle.dumps((votes[k], drawn[k]))], pa.binary())], ["leaf", "size", "sums", "rest"])
+        if names is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0.0]), pa.array([told.tobytes()], pa.binary()), pa.array([None], pa.binary())], ["leaf", "size", "sums", "rest"])
+
+    got = corpus.vectors.coalesce(max(2, context.defaultParallelism)).mapInArrow(run, "leaf int, size double, sums binary, rest binary").toArrow()
+    size, sums, votes = np.zeros(len(leaves)), np.zeros((len(leaves), width), np.float32), np.zeros((len(leaves), len(votes_of)))
+    told, drawn = np.zeros(width), [[] for _ in leaves]
+    for k, n, s, rest in zip(*(got[c] for c in ("leaf", "size", "sums", "rest"))):
+        k, s = k.as_py(), np.frombuffer(s.as_buffer(), np.float32)
+        if k < 0:
+            told += s
+            continue
+        size[k] += n.as_py()
+        sums[k] += s
+        v, d = pickle.loads(rest.as_py())
+        votes[k] += v
+        drawn[k] = sorted(drawn[k] + d, key=lambda x: x[0])[:picks]
+    shared.destroy()
+    return size, sums, votes, told, drawn
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / max(float(np.linalg.norm(x)), 1e-9)
+
+
+def bisect(corpus: Corpus, leaves: int, min_size: int = 8, rounds: int = 3) -> Tree:
+    """Bisecting k-means over all vectors: in every round the loosest leaves are split at once, each split by passes over all of its members."""
+    width = len(corpus.words)
+    tree = Tree(np.full(2 * leaves, -1), np.zeros((2 * leaves, width), np.float32))
+    size, sums, _, _, drawn = _sweep(corpus, tree, [0], picks=9)
+    open_ = {0: (size[0], size[0] - float(np.linalg.norm(sums[0])), drawn[0])}
+    total, free = 1, 1
+    while total < leaves:
+        able = sorted((k for k, (n, _, d) in open_.items() if n >= 2 * min_size and len(d) > 1), key=lambda k: -open_[k][1])
+        able = [k for k in able[: leaves - total] if open_[k][1] >= open_[able[0]][1] / 8]
+        able = able[: (2 * leaves - free) // 2]
+        if not able:
+            break
+        fresh = []
+        for k in able:
+            one, *others = (np.bincount(i, weights=v, minlength=width) for _, i, v in open_.pop(k)[2])
+            two = sorted(others, key=lambda x: float(x @ one))[len(others) // 4]
+            tree.way[k], tree.child[k] = one - two, free
+            fresh += [free, free + 1]
+            free += 2
+        for r in range(rounds):
+            size, sums, _, _, drawn = _sweep(corpus, tree, fresh, picks=9 * (r == rounds - 1))
+            if r < rounds - 1:
+                for j, k in enumerate(able):
+                    if size[2 * j] and size[2 * j + 1]:
+                        tree.way[k] = _unit(sums[2 * j]) - _unit(sums[2 * j + 1])
+        for j, k in enumerate(able):
+            if min(size[2 * j], size[2 * j + 1]) < min_size:
+                tree.child[k] = -1  # stays whole
+                continue
+            total += 1
+            for x in (2 * j, 2 * j + 1):
+                open_[fresh[x]] = (size[x], size[x] - float(np.linalg.norm(sums[x])), drawn[x])
+    return tree
 
-    counted = some.select(F.col("doc_id").cast("bigint"), "text", "subject", F.col("h").cast("bigint")).mapInArrow(run, "doc_id bigint, words array<string>, counts array<int>, subject string, h bigint")
-    table = counted.orderBy("h", "doc_id").limit(rows).select("words", "counts", "subject").toArrow().combine_chunks()
-    if not table.num_rows:
-        return Sample(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], [])
-    words, counts = table["words"].combine_chunks(), table["counts"].combine_chunks()
-    coded = words.flatten().dictionary_encode()
-    starts = np.asarray(words.offsets).astype(np.int64)
-    return Sample(starts - starts[0], np.asarray(coded.indices), np.asarray(counts.flatten()), coded.dictionary.to_pylist(), table["subject"].to_pylist())
 
+def _leaves(tree: Tree) -> list[int]:
+    out, todo = [], [0]
+    while todo:
+        k = todo.pop()
+        if tree.child[k] < 0:
+            out.append(k)
+        else:
+            todo += [int(tree.child[k]) + 1, int(tree.child[k])]
+    return out
 
-def fit(sample: Sample, subjects: list[str], leaves: int = LEAVES) -> Model:
-    """Leaves, their terms and their subjects from a sample."""
+
+def fit(sample: Corpus, subjects: list[str], leaves: int = LEAVES) -> Model:
+    """Leaves, their terms and their subjects, from all texts."""
     model = Model(subjects=sorted(subjects))
-    texts = len(sample.subjects)
-    df = np.bincount(sample.codes, minlength=len(sample.words))
-    least = max(4, texts // 2500)
-    # words that stand everywhere weigh little by their idf, and terms are chosen by how unevenly they stand over subjects
-    picked = [k for k in np.flatnonzero(df >= least) if len(sample.words[k]) > 1]
-    picked.sort(key=lambda k: sample.words[k])
-    vocabulary = [sample.words[k] for k in picked]
+    texts, vocabulary = sample.texts, sample.words
     if not vocabulary:
         return model
-    at = np.full(len(sample.words), -1, dtype=np.int64)
-    at[picked] = np.arange(len(picked))
-    idf = np.log(texts / df[picked])
-    held = at[sample.codes] >= 0
-    text_of = np.repeat(np.arange(texts), np.diff(sample.starts))[held]
-    idx = at[sample.codes[held]]
-    val = (1 + np.log(sample.counts[held])) * idf[idx]
-    norm = np.sqrt(np.bincount(text_of, weights=val * val, minlength=texts))
-    val /= np.maximum(norm, 1e-9)[text_of]
-    ptr = np.concatenate(([0], np.cumsum(np.bincount(text_of, minlength=texts))))
-    rows = (ptr, idx, val)
-    label = bisecting_kmeans(rows, len(vocabulary), leaves)
-    index = {s: k for k, s in enumerate(model.subjects)}
+    tree = bisect(sample, leaves)
     # how often each term stands in the texts of each leaf
-    count = int(label.max()) + 1
-    owner = np.repeat(label, np.diff(rows[0]))
-    stands = np.bincount(owner * len(vocabulary) + rows[1], minlength=count * len(vocabulary)).reshape(count, -1).astype(np.float32)
-    size = np.bincount(label, minlength=count).astype(float)
-    votes = np.zeros((count, len(model.subjects)))
-    for subject, k in zip(sample.subjects, label):
-        if subject in index:
-            votes[k, index[subject]] += 1
+    size, stands, votes, with_label, _ = _sweep(sample, tree, _leaves(tree), model.subjects)
+    count = len(size)
     base = votes.sum(axis=0) + 1.0
     # a leaf's subjects: its labelled texts, against how common each subject is
     lean = (votes + 0.2) / base
@@ -233,10 +354,8 @@ def fit(sample: Sample, subjects: list[str], leaves: int = LEAVES) -> Model:
     best = (belongs.T @ lean).max(axis=1)
     least_share = max(PURE, 1.3 / max(1, len(model.subjects)))  # of few subjects an even share is large by itself
     # words of notices stand in texts that bear no label, even where those share a leaf with others
-    labelled = np.array([subject in index for subject in sample.subjects])
     seen = stands.sum(axis=0)
-    with_label = np.bincount(rows[1], weights=np.repeat(labelled, np.diff(rows[0])).astype(float), minlength=len(vocabulary))
-    told = with_label + 0.5 >= 0.3 * labelled.mean() * seen
+    told = with_label + 0.5 >= 0.3 * votes.sum() / texts * seen
     picked = np.flatnonzero(told & (best - 0.5 / np.sqrt(np.maximum(seen, 1.0)) >= least_share))
     model.terms = {vocabulary[t]: k for k, t in enumerate(picked)}
     model.belongs = belongs.T[picked].astype(np.float32)
@@ -275,7 +394,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("subject", pa.string()), ("share", pa
 
 def assign(documents: DataFrame, model: Model, min_share: float = MIN_SHARE) -> DataFrame:
     """(doc_id, subject, share) of every subject with at least ``min_share`` of a document's text."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # one entry per term of the sample
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # one entry per term of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -358,6 +358,18 @@ def test_a_text_on_a_third_of_all_rows_has_its_subject(spark):
     assert got == {(k, s) for k, s in subject.items()} | {(1000 + k, "law") for k in range(60)}
 
 
+def test_the_fit_counts_all_texts(spark):
+    """More texts than any sample of former rounds held: none is left out of the frequencies and leaves."""
+    docs = spark.range(13_000).selectExpr("id as doc_id", "concat('alpha beta number', ' ', if(id % 2 = 0, 'court', 'goal'), ' ', id) as text")
+    labels = spark.createDataFrame([], "doc_id bigint, subject string")
+    # each text is another one by its number, and all of them count
+    corpus = subjects.fit_sample(docs, labels)
+    assert corpus.texts == 13_000 and corpus.vectors.count() == 13_000
+    assert dict(zip(corpus.words, corpus.df.tolist())) == {"alpha": 13_000, "beta": 13_000, "number": 13_000, "court": 6_500, "goal": 6_500}
+    model = subjects.fit(corpus, ["law"], leaves=2)
+    assert sum(n for _, _, n, _ in subjects.leaf_table(model)) == 13_000
+
+
 def test_mixture_of_leaves():
     """A document's subjects are those of its leaves: without the leaves' own mixtures a leaf of two subjects would count for one."""
     model = subjects.Model(["law", "sport"], {"court": 0, "goal": 1, "club": 2}, np.array([[1, 0, 0], [0, 1, 0], [0, 0, 1]], np.float32), np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]]))
