@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,27 @@ MIN_SHARE = 0.21
 PURE = 0.4
 
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
-_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|[\r\n]+")
+#: Blanks after a full stop, or line ends; begins with a class of characters, which the search looks for quickly.
+_SENTENCE = re.compile(r"\s(?:(?<=[.!?。！？]\s)\s*|(?<=[\r\n])[\r\n]*)")
+
+
+class _Codes(dict):
+    """Piece of a text between blanks -> codes of its words, in order; no word holds a blank, and most pieces come again and again."""
+
+    def __init__(self, code):
+        super().__init__()
+        self.code = code
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        got = tuple(k for k in map(self.code, _WORD.findall(piece)) if k is not None)
+        if len(piece) <= 40:
+            if len(self) >= 300_000:
+                self.clear()
+            self[piece] = got
+        return got
+
+    def of(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(self.__getitem__, text.lower().split())))
 
 
 @dataclass
@@ -153,63 +174,101 @@ def fit_sample(documents: DataFrame, labels: DataFrame) -> Corpus:
     The driver gets the vocabulary alone: words in at least one of 2,500 texts, so it does not grow with the corpus.
     """
     some = distinct_texts(documents, labels).select("text", "subject", F.xxhash64("doc_id").alias("h"))
-    schema = pa.schema([("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("subject", pa.string()), ("h", pa.int64())])
+    block = pa.schema([("n", pa.int64()), ("words", pa.list_(pa.string())), ("df", pa.list_(pa.int64())), ("lens", pa.binary()), ("codes", pa.binary()), ("counts", pa.binary()), ("subjects", pa.list_(pa.string())), ("h", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch of texts becomes one row with words of its own, so that a word is written, read and looked up once for all texts of the batch."""
+        known: dict[str, int] = {}
+        codes = _Codes(lambda w: known.setdefault(w, len(known)) if len(w) > 1 else None)
         for batch in batches:
-            found = [Counter(w for w in map(str.lower, _WORD.findall(t)) if len(w) > 1) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in found], schema.field(0).type), pa.array([list(c.values()) for c in found], schema.field(1).type), batch.column(1), batch.column(2)], schema=schema)
-
-    counted = stage(some.mapInArrow(count, "words array<string>, counts array<int>, subject string, h bigint"), "words")
-    texts = counted.count()
+            if not batch.num_rows:
+                continue
+            if len(known) > 1_000_000:
+                known.clear()
+                codes.clear()
+            held, lens = [], []
+            for text in batch.column(0).to_pylist():
+                own = codes.of(text)
+                held += own
+                lens.append(len(own))
+            held = np.array(held, np.int64)
+            names = list(known)
+            used = sorted(np.flatnonzero(np.bincount(held, minlength=len(names))).tolist(), key=names.__getitem__)
+            rank = np.zeros(len(names), np.int64)
+            rank[used] = np.arange(len(used))
+            width = max(1, len(used))
+            keys, counts = np.unique(np.repeat(np.arange(len(lens)), lens) * width + rank[held], return_counts=True)
+            text, word = np.divmod(keys, width)
+            values = [len(lens), [names[k] for k in used], np.bincount(word, minlength=len(used))]
+            values += [x.astype(np.int32).tobytes() for x in (np.bincount(text, minlength=len(lens)), word, counts)] + [batch.column(1).to_pylist(), batch.column(2).to_numpy().tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, block)], schema=block)
+
+    counted = stage(some.mapInArrow(count, "n bigint, words array<string>, df array<bigint>, lens binary, codes binary, counts binary, subjects array<string>, h binary"), "words")
+    texts = counted.agg(F.sum("n")).first()[0] or 0
     least = max(4, texts // 2500)
     # words that stand everywhere weigh little by their idf, and terms are chosen by how unevenly they stand over subjects
-    known = counted.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= least).toArrow().sort_by("word")
+    known = counted.select(F.explode(F.arrays_zip("words", "df")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.df").alias("df")).where(F.col("df") >= least).toArrow().sort_by("word")
     words, df = known["word"].to_pylist(), known["df"].to_numpy()
     shared = documents.sparkSession.sparkContext.broadcast(({w: k for k, w in enumerate(words)}, np.log(texts / df) if len(df) else np.zeros(0)))
-    out = pa.schema([("h", pa.int64()), ("idx", pa.list_(pa.int32())), ("val", pa.list_(pa.float32())), ("subject", pa.string())])
+    out = pa.schema([("h", pa.int64()), ("idx", pa.binary()), ("val", pa.binary()), ("subject", pa.string())])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, idf = shared.value
         for batch in batches:
-            idx, val = [], []
-            for own, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held = sorted((k, c) for w, c in zip(own, n) if (k := at.get(w)) is not None)
-                i = np.array([k for k, _ in held], np.int32)
-                v = (1 + np.log(np.array([c for _, c in held], float))) * idf[i]
-                idx.append(i)
-                val.append((v / max(math.sqrt(float(v @ v)), 1e-9)).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(idx, out.field(1).type), pa.array(val, out.field(2).type), batch.column(2)], schema=out)
+            for k in range(batch.num_rows):
+                own, lens, codes, counts, subject, h = (batch.column(c)[k] for c in ("words", "lens", "codes", "counts", "subjects", "h"))
+                lens, codes, counts = (np.frombuffer(x.as_py(), np.int32) for x in (lens, codes, counts))
+                place = np.array([at.get(w, -1) for w in own.as_py()], np.int32)[codes] if len(codes) else codes
+                held = place >= 0
+                text, idx = np.repeat(np.arange(len(lens)), lens)[held], place[held]
+                val = (1 + np.log(counts[held])) * idf[idx]
+                val /= np.maximum(np.sqrt(np.bincount(text, weights=val * val, minlength=len(lens))), 1e-9)[text]
+                ends = pa.py_buffer(np.concatenate(([0], 4 * np.cumsum(np.bincount(text, minlength=len(lens))))).astype(np.int32))
+                vectors = [pa.Array.from_buffers(pa.binary(), len(lens), [None, ends, pa.py_buffer(x)]) for x in (idx, val.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h.as_py(), np.int64)), *vectors, pa.array(subject.as_py(), pa.string())], schema=out)
 
-    return Corpus(stage(counted.mapInArrow(weigh, "h bigint, idx array<int>, val array<float>, subject string"), "vectors"), words, df, texts)
+    return Corpus(stage(counted.mapInArrow(weigh, "h bigint, idx binary, val binary, subject string"), "vectors"), words, df, texts)
 
 
 @dataclass
 class Tree:
     """Splits: ``child`` is a node's first child (the second follows it) or -1, ``way`` what leads to the first one where its product is positive."""
 
-    child: np.ndarray
-    way: np.ndarray
+    child: list[int] = field(default_factory=lambda: [-1])
+    way: list[np.ndarray | None] = field(default_factory=lambda: [None])
 
+    def split(self, node: int, way: np.ndarray) -> None:
+        self.child[node], self.way[node] = len(self.child), way
+        self.child += [-1, -1]
+        self.way += [None, None]
 
-def _descend(rows, tree: Tree) -> np.ndarray:
-    """Leaf of each vector."""
+
+def _descend(rows, child: np.ndarray, place: np.ndarray, ways: np.ndarray) -> np.ndarray:
+    """Leaf of each vector; ``place``: where the way of a node begins in ``ways``. A vector without terms goes to the second child."""
     ptr, idx, val = rows
     node = np.zeros(len(ptr) - 1, np.int64)
-    lens = np.diff(ptr)
     while True:
-        go = np.flatnonzero(tree.child[node] >= 0)
+        go = np.flatnonzero(child[node] >= 0)
         if not len(go):
             return node
         p, i, v = rows if len(go) == len(node) else _take(rows, go)
-        part = np.concatenate(([0.0], np.cumsum(v * tree.way[np.repeat(node[go], lens[go]), i], dtype=np.float64)))
-        node[go] = tree.child[node[go]] + (part[p[1:]] - part[p[:-1]] <= 0)
+        lens = np.diff(p)
+        first = np.zeros(len(go), bool)
+        if len(i):
+            product = ways.take(i + np.repeat(place[node[go]], lens))
+            product *= v
+            first[lens > 0] = np.add.reduceat(product, p[:-1][lens > 0]) > 0
+        node[go] = child[node[go]] + ~first
 
 
 def _rows(batch: pa.RecordBatch):
-    lists = batch.column(1)
-    ptr = np.asarray(lists.offsets).astype(np.int64)
-    return ptr - ptr[0], np.asarray(lists.flatten()).astype(np.int64), np.asarray(batch.column(2).flatten())
+    def flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        _, ends, data = column.buffers()
+        ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+        return ends - ends[0], np.frombuffer(data or b"", kind)[ends[0] : ends[-1]]
+
+    ptr, idx = flat(batch.column(1), np.int32)
+    return ptr, idx.astype(np.int64), flat(batch.column(2), np.float32)[1]
 
 
 def _sweep(corpus: Corpus, tree: Tree, leaves: list[int], names: list[str] | None = None, picks: int = 0):
@@ -219,50 +278,61 @@ def _sweep(corpus: Corpus, tree: Tree, leaves: list[int], names: list[str] | Non
     """
     context = corpus.vectors.sparkSession.sparkContext
     width, votes_of = len(corpus.words), {s: k for k, s in enumerate(names or [])}
-    shared = context.broadcast((tree, np.array(leaves)))
+    child = np.array(tree.child)
+    inner = np.flatnonzero(child >= 0)
+    place = np.zeros(len(child), np.int64)
+    place[inner] = np.arange(len(inner)) * width
+    ways = np.concatenate([np.zeros(0, np.float32), *(tree.way[k].astype(np.float32) for k in inner)])
+    shared = context.broadcast((child, place, ways, np.array(leaves)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, wanted = shared.value
-        slot = np.full(len(tree.child), -1)
+        child, place, ways, wanted = shared.value
+        slot = np.full(len(child), -1)
         slot[wanted] = np.arange(len(wanted))
         size, sums, votes = np.zeros(len(wanted)), np.zeros(len(wanted) * width, np.float32), np.zeros((len(wanted), len(votes_of)))
         told, drawn = np.zeros(width, np.float32), [[] for _ in wanted]
+        limit = np.full(len(wanted), np.iinfo(np.int64).max)
         for batch in batches:
             rows = _rows(batch)
-            at = slot[_descend(rows, tree)]
-            size += np.bincount(at[at >= 0], minlength=len(wanted))
+            at = slot[_descend(rows, child, place, ways)]
+            held = np.flatnonzero(at >= 0)
+            size += np.bincount(at[held], minlength=len(wanted))
+            p, i, v = rows if len(held) == len(at) else _take(rows, held)
+            np.add.at(sums, i + np.repeat(at[held] * width, np.diff(p)), np.float32(1) if names is not None else v)
             lens = np.diff(rows[0])
-            owner = np.repeat(at, lens)
-            held = owner >= 0
-            np.add.at(sums, owner[held] * width + rows[1][held], np.float32(1) if names is not None else rows[2][held])
             if names is not None:
                 subject = np.array([votes_of.get(s, -1) for s in batch.column(3).to_pylist()])
                 has = subject >= 0
                 np.add.at(votes, (at[has], subject[has]), 1)
-                np.add.at(told, rows[1][np.repeat(has, lens)], np.float32(1))
+                told += np.bincount(rows[1][np.repeat(has, lens)], minlength=width).astype(np.float32)
             if picks:
                 h = batch.column(0).to_numpy()
-                for k in np.argsort(h, kind="stable"):
-                    if at[k] >= 0 and lens[k] and (len(own := drawn[at[k]]) < picks or h[k] < own[-1][0]):
-                        own.append((int(h[k]), rows[1][rows[0][k] : rows[0][k + 1]], rows[2][rows[0][k] : rows[0][k + 1]]))
+                for k in held[(lens[held] > 0) & (h[held] < limit[at[held]])]:
+                    own = drawn[at[k]]
+                    own.append((int(h[k]), rows[1][rows[0][k] : rows[0][k + 1]].astype(np.int32), rows[2][rows[0][k] : rows[0][k + 1]].copy()))
+                    if len(own) >= 2 * picks:
                         own.sort(key=lambda x: x[0])
                         del own[picks:]
+                        limit[at[k]] = own[-1][0]
         for k in range(len(wanted)):
             if size[k]:
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([size[k]]), pa.array([sums[k * width : (k + 1) * width].tobytes()], pa.binary()), pa.array([pickle.dumps((votes[k], drawn[k]))], pa.binary())], ["leaf", "size", "sums", "rest"])
+                own = sums[k * width : (k + 1) * width]
+                terms = np.flatnonzero(own)
+                rest = pickle.dumps((votes[k], sorted(drawn[k], key=lambda x: x[0])[:picks]))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([size[k]]), pa.array([terms.astype(np.int32).tobytes()], pa.binary()), pa.array([own[terms].tobytes()], pa.binary()), pa.array([rest], pa.binary())], ["leaf", "size", "terms", "sums", "rest"])
         if names is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0.0]), pa.array([told.tobytes()], pa.binary()), pa.array([None], pa.binary())], ["leaf", "size", "sums", "rest"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0.0]), pa.array([None], pa.binary()), pa.array([told.tobytes()], pa.binary()), pa.array([None], pa.binary())], ["leaf", "size", "terms", "sums", "rest"])
 
-    got = corpus.vectors.coalesce(max(2, context.defaultParallelism)).mapInArrow(run, "leaf int, size double, sums binary, rest binary").toArrow()
+    got = corpus.vectors.coalesce(max(2, context.defaultParallelism)).mapInArrow(run, "leaf int, size double, terms binary, sums binary, rest binary").toArrow()
     size, sums, votes = np.zeros(len(leaves)), np.zeros((len(leaves), width), np.float32), np.zeros((len(leaves), len(votes_of)))
     told, drawn = np.zeros(width), [[] for _ in leaves]
-    for k, n, s, rest in zip(*(got[c] for c in ("leaf", "size", "sums", "rest"))):
+    for k, n, terms, s, rest in zip(*(got[c] for c in ("leaf", "size", "terms", "sums", "rest"))):
         k, s = k.as_py(), np.frombuffer(s.as_buffer(), np.float32)
         if k < 0:
             told += s
             continue
         size[k] += n.as_py()
-        sums[k] += s
+        sums[k, np.frombuffer(terms.as_buffer(), np.int32)] += s
         v, d = pickle.loads(rest.as_py())
         votes[k] += v
         drawn[k] = sorted(drawn[k] + d, key=lambda x: x[0])[:picks]
@@ -274,50 +344,71 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / max(float(np.linalg.norm(x)), 1e-9)
 
 
-def bisect(corpus: Corpus, leaves: int, min_size: int = 8, rounds: int = 3) -> Tree:
-    """Bisecting k-means over all vectors: in every round the loosest leaves are split at once, each split by passes over all of its members."""
+def _begin(tree: Tree, node: int, drawn: list, width: int) -> list[list]:
+    """Split ``node`` between two of its drawn members, unlike one another; the drawn members of each side."""
+    dense = [np.bincount(i, weights=v, minlength=width) for _, i, v in drawn]
+    two = sorted(dense[1:], key=lambda x: float(x @ dense[0]))[(len(dense) - 1) // 4]
+    tree.split(node, dense[0] - two)
+    first = [float(x @ tree.way[node]) > 0 for x in dense]
+    return [[d for d, f in zip(drawn, first) if f == side] for side in (True, False)]
+
+
+def bisect(corpus: Corpus, leaves: int, min_size: int = 8, rounds: int = 3, tries: int = 5, picks: int = 18) -> Tree:
+    """Bisecting k-means over all vectors: in every round the loosest leaves are split at once, each split by passes over all of its members.
+
+    While there is room, both sides of a split are split in the same passes. A split that sets apart fewer than ``min_size`` members is
+    begun again with other members.
+    """
     width = len(corpus.words)
-    tree = Tree(np.full(2 * leaves, -1), np.zeros((2 * leaves, width), np.float32))
-    size, sums, _, _, drawn = _sweep(corpus, tree, [0], picks=9)
-    open_ = {0: (size[0], size[0] - float(np.linalg.norm(sums[0])), drawn[0])}
-    total, free = 1, 1
+    tree = Tree()
+    loose = lambda n, s: n - float(np.linalg.norm(s))
+    size, sums, _, _, drawn = _sweep(corpus, tree, [0], picks=picks)
+    open_ = {0: (size[0], loose(size[0], sums[0]), drawn[0])}
+    total = 1
+    tried: Counter[int] = Counter()
     while total < leaves:
-        able = sorted((k for k, (n, _, d) in open_.items() if n >= 2 * min_size and len(d) > 1), key=lambda k: -open_[k][1])
+        able = sorted((k for k, (n, _, d) in open_.items() if n >= 2 * min_size and tried[k] < tries and len(d) > tried[k] + 1), key=lambda k: -open_[k][1])
         able = [k for k in able[: leaves - total] if open_[k][1] >= open_[able[0]][1] / 8]
-        able = able[: (2 * leaves - free) // 2]
         if not able:
             break
-        fresh = []
+        deep = leaves - total >= 3 * len(able)
+        begun: list[int] = []  # a node before those below it
         for k in able:
-            one, *others = (np.bincount(i, weights=v, minlength=width) for _, i, v in open_.pop(k)[2])
-            two = sorted(others, key=lambda x: float(x @ one))[len(others) // 4]
-            tree.way[k], tree.child[k] = one - two, free
-            fresh += [free, free + 1]
-            free += 2
+            sides = _begin(tree, k, open_.pop(k)[2][tried[k] :], width)
+            begun.append(k)
+            for c, side in zip((tree.child[k], tree.child[k] + 1), sides):
+                if deep and len(side) > 1:
+                    _begin(tree, c, side, width)
+                    begun.append(c)
+        fresh = [c for k in begun for c in (tree.child[k], tree.child[k] + 1) if tree.child[c] < 0]
         for r in range(rounds):
-            size, sums, _, _, drawn = _sweep(corpus, tree, fresh, picks=9 * (r == rounds - 1))
-            if r < rounds - 1:
-                for j, k in enumerate(able):
-                    if size[2 * j] and size[2 * j + 1]:
-                        tree.way[k] = _unit(sums[2 * j]) - _unit(sums[2 * j + 1])
-        for j, k in enumerate(able):
-            if min(size[2 * j], size[2 * j + 1]) < min_size:
-                tree.child[k] = -1  # stays whole
-                continue
-            total += 1
-            for x in (2 * j, 2 * j + 1):
-                open_[fresh[x]] = (size[x], size[x] - float(np.linalg.norm(sums[x])), drawn[x])
+            size, sums, _, _, drawn = _sweep(corpus, tree, fresh, picks=picks * (r == rounds - 1))
+            of = dict(zip(fresh, zip(size, sums, drawn)))
+            for k in reversed(begun):
+                a, b = of[tree.child[k]], of[tree.child[k] + 1]
+                of[k] = a[0] + b[0], a[1] + b[1], sorted(a[2] + b[2], key=lambda x: x[0])[:picks]
+                if r < rounds - 1:
+                    if a[0] and b[0]:
+                        tree.way[k] = _unit(a[1]) - _unit(b[1])
+                elif min(a[0], b[0]) < min_size:
+                    tree.child[k] = -1
+                    tried[k] += 1
+        for k in able:
+            below = _leaves(tree, k)
+            total += len(below) - 1
+            for x in below:
+                open_[x] = of[x][0], loose(*of[x][:2]), of[x][2]
     return tree
 
 
-def _leaves(tree: Tree) -> list[int]:
-    out, todo = [], [0]
+def _leaves(tree: Tree, root: int = 0) -> list[int]:
+    out, todo = [], [root]
     while todo:
         k = todo.pop()
         if tree.child[k] < 0:
             out.append(k)
         else:
-            todo += [int(tree.child[k]) + 1, int(tree.child[k])]
+            todo += [tree.child[k] + 1, tree.child[k]]
     return out
 
 
@@ -337,13 +428,12 @@ def fit(sample: Corpus, subjects: list[str], leaves: int = LEAVES) -> Model:
     lean /= lean.sum(axis=1, keepdims=True)
     # texts without a subject have few labels, and wrong ones: a leaf of such texts has no name
     named = votes.sum(axis=1) >= np.maximum(2, 0.3 * size * votes.sum() / max(1, texts))
-    rate = (stands + 0.02) / (size[:, None] + 0.2)
     everywhere = (stands.sum(axis=0) + 0.02) / (texts + 0.2)
-    odds = np.log(rate / everywhere[None, :])
-    strength = np.where(stands >= 3, odds * np.sqrt(stands), 0.0)
     for k in range(count):
-        best = np.argsort(-strength[k])[:12]
-        model.leaves.append((k, model.subjects[int(np.argmax(lean[k]))] if named[k] else None, int(size[k]), [vocabulary[t] for t in best if strength[k, t] > 0]))
+        odds = np.log((stands[k] + 0.02) / (size[k] + 0.2) / everywhere)
+        strength = np.where(stands[k] >= 3, odds * np.sqrt(stands[k]), 0.0)
+        best = np.argsort(-strength)[:12]
+        model.leaves.append((k, model.subjects[int(np.argmax(lean[k]))] if named[k] else None, int(size[k]), [vocabulary[t] for t in best if strength[t] > 0]))
     # how much of a term stands in each leaf: leaves are weighed so that each subject counts as if all were equally large, and
     # the common words of a large one speak for none; leaves without a name (bare notices and the like) count against a term
     mass = (size * named) @ lean
@@ -393,22 +483,35 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("subject", pa.string()), ("share", pa
 
 
 def assign(documents: DataFrame, model: Model, min_share: float = MIN_SHARE) -> DataFrame:
-    """(doc_id, subject, share) of every subject with at least ``min_share`` of a document's text."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # one entry per term of the vocabulary
+    """(doc_id, subject, share) of every subject with at least ``min_share`` of a document's text.
+
+    The same shares as ``mixture``: each term's leaves are summed to subjects once, not in every document.
+    """
+    parts = np.column_stack((model.belongs.astype(float) @ model.lean if model.terms else np.zeros((0, len(model.subjects))), model.belongs.sum(axis=1, dtype=float)))
+    shared = documents.sparkSession.sparkContext.broadcast((model.terms, parts, model.subjects))  # one entry per term of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        terms, parts, subjects = shared.value
+        codes = _Codes(terms.get)
         for batch in batches:
-            ids, names, shares = [], [], []
+            ids, starts, rows, weights, hits = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if i is None:
+                if i is None or not text:
                     continue
-                mix, _ = mixture(text, m)
-                for s in np.flatnonzero(mix >= min_share):
+                begin = len(rows)
+                for sentence in _SENTENCE.split(text):
+                    if own := codes.of(sentence):
+                        rows += own
+                        weights.append(len(sentence) / len(own))
+                        hits.append(len(own))
+                if len(rows) > begin:
                     ids.append(i)
-                    names.append(m.subjects[s])
-                    shares.append(float(mix[s]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(shares, pa.float64())], schema=_OUT)
+                    starts.append(begin)
+            if ids:
+                mix = np.add.reduceat(parts[rows] * np.repeat(weights, hits)[:, None], starts)
+                doc, subject = np.nonzero(mix[:, :-1] >= min_share * mix[:, -1:])
+                share = mix[doc, subject] / mix[doc, -1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[doc]), pa.array([subjects[s] for s in subject], pa.string()), pa.array(share, pa.float64())], schema=_OUT)
 
     return spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(run, "doc_id bigint, subject string, share double")
 
